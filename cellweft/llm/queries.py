@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cellweft.llm import components, topn
+from cellweft.llm import components, density, neighbours, topn
 from cellweft.plans.registry import Registry, Tables
+from cellweft.session import cut
 
 R = Registry()
 
@@ -41,3 +43,44 @@ reach AS (SELECT k, m FROM e UNION SELECT r.k, e.m FROM reach r JOIN e ON r.m =
 SELECT min(m) AS group_cell_key, k AS cell_key FROM reach GROUP BY k HAVING count(DISTINCT m) > 1""")
 def p4_found(t: Tables) -> DataFrame:
     return components.clone_groups(t.clone_cellbin_membership, t.cellbin_clone_assignment)
+
+
+_USABLE = """
+WITH v AS (
+  SELECT upper(trim(anchor_id)) AS id, upper(trim(slice_id)) AS slice_id, CAST(features AS DOUBLE[]) AS f,
+    row_number() OVER (PARTITION BY upper(trim(anchor_id)) ORDER BY rep_version DESC NULLS LAST) AS n FROM niche_anchors WHERE anchor_id IS NOT NULL
+), a AS (
+  SELECT id, slice_id, f FROM v WHERE n = 1 AND len(f) = 48 AND len(list_filter(f, lambda x: NOT isfinite(x) OR x IS NULL)) = 0
+    AND len(list_filter(f, lambda x: x <> 0)) > 0
+)
+"""
+_DIM = 48
+
+
+def _anchors(t: Tables) -> DataFrame:
+    return neighbours.usable_vectors(neighbours.current_anchors(t.niche_anchors), "anchor_id", "features", _DIM)
+
+
+@R.query("p1_found", _USABLE + """, d AS (
+  SELECT a.id, b.id AS o, greatest(0, round(1 - list_cosine_similarity(a.f, b.f), 12)) AS d FROM a JOIN a b ON a.id <> b.id
+), k AS (SELECT id, o, row_number() OVER (PARTITION BY id ORDER BY d, o) AS n FROM d WHERE d <= 0.02)
+SELECT DISTINCT least(id, o) AS anchor_id_a, greatest(id, o) AS anchor_id_b FROM k WHERE n <= 5""")
+def p1_found(t: Tables) -> DataFrame:
+    return neighbours.close_pairs(neighbours.most_similar(_anchors(t), _DIM, k=5, max_distance=0.02))
+
+
+def _groups(t: Tables) -> DataFrame:
+    v = cut(neighbours.usable_vectors(neighbours.current_anchors(t.niche_anchors), "anchor_id", "features", _DIM, "slice_id"))
+    current = t.run_params.where("is_current").select("n_pca_components").first()
+    p = density.DensityParams(components=current[0]) if current and current[0] else density.DensityParams()
+    return density.with_copies(density.compact_groups(v, _DIM, params=p), v)
+
+
+@R.query("p5_found")
+def p5_found(t: Tables) -> DataFrame:
+    return _groups(t).select(F.col("group_id").alias("group_anchor_id"), F.col("id").alias("anchor_id"))
+
+
+@R.query("p5_metaniches")
+def p5_metaniches(t: Tables) -> DataFrame:
+    return density.typical_members(_groups(t))
