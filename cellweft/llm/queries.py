@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.llm import components, density, neighbours, topn
+from cellweft.llm import components, cooccurrence, density, neighbours, tokenize, topn
 from cellweft.plans.registry import Registry, Tables
 from cellweft.session import cut
 
@@ -84,3 +84,34 @@ def p5_found(t: Tables) -> DataFrame:
 @R.query("p5_metaniches")
 def p5_metaniches(t: Tables) -> DataFrame:
     return density.typical_members(_groups(t))
+
+
+def _features(t: Tables, ratio: float) -> DataFrame:
+    least = t.run_params.where("is_current").select("min_feature_cooccurrence_cellbins").first()
+    return cooccurrence.feature_pairs(t.cellbin_feature_evidence, least[0] if least and least[0] else 1, ratio)
+
+
+_PAIRS = """
+WITH b AS (
+  SELECT DISTINCT upper(trim(slice_id)) AS s, coalesce(nullif(upper(trim(cell_key)), ''), upper(trim(sample_id)) || '|' || upper(trim(slice_id)) || '|' || upper(trim(cellbin_id))) AS k,
+    upper(trim(assay)) || '::' || upper(trim(feature_id)) AS f FROM cellbin_feature_evidence WHERE count > 0
+), m AS (SELECT s, f, count(DISTINCT k) AS n FROM b GROUP BY ALL), t AS (SELECT s, count(DISTINCT k) AS n FROM b GROUP BY ALL),
+o AS (SELECT x.f AS l, y.f AS r, count(DISTINCT x.k) AS observed FROM b x JOIN b y ON x.k = y.k AND x.f < y.f GROUP BY ALL HAVING count(DISTINCT x.k) >= 4),
+e AS (SELECT l, r, observed, sum(ml.n * mr.n / t.n) AS expected FROM o JOIN m ml ON ml.f = l JOIN m mr ON mr.f = r AND mr.s = ml.s JOIN t ON t.s = ml.s GROUP BY ALL)
+"""
+
+
+@R.query("p6_found", _PAIRS + "SELECT l AS feature_left, r AS feature_right FROM e WHERE observed / expected >= 7.31")
+def p6_found(t: Tables) -> DataFrame:
+    return _features(t, 7.31).select(F.col("left").alias("feature_left"), F.col("right").alias("feature_right"))
+
+
+@R.query("p6_pairs", _PAIRS + "SELECT l AS feature_left, r AS feature_right, observed, round(expected, 6) AS expected, round(observed / expected, 6) AS ratio FROM e")
+def p6_pairs(t: Tables) -> DataFrame:
+    return _features(t, 0.0).select(
+        F.col("left").alias("feature_left"), F.col("right").alias("feature_right"), "observed", F.round("expected", 6).alias("expected"), F.round("ratio", 6).alias("ratio"))
+
+
+@R.query("p8_ids")
+def p8_ids(t: Tables) -> DataFrame:
+    return tokenize.encoded(t.documents, "doc_id", "text")
