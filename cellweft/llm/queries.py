@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.llm import components, cooccurrence, density, neighbours, tokenize, topn
+from cellweft.llm import components, cooccurrence, density, language, leakage, neighbours, tokenize, topn
 from cellweft.plans.registry import Registry, Tables
 from cellweft.session import cut
 
@@ -115,3 +115,34 @@ def p6_pairs(t: Tables) -> DataFrame:
 @R.query("p8_ids")
 def p8_ids(t: Tables) -> DataFrame:
     return tokenize.encoded(t.documents, "doc_id", "text")
+
+
+_WINDOWS = r"""
+regexp_extract_all(strip_accents(lower(replace(replace(regexp_replace(regexp_replace(text, '<[^<>]*>', '', 'g'), '[\x{00AD}\x{200B}-\x{200F}\x{2060}\x{FEFF}]', '', 'g'), 'ß', 'ss'), 'ẞ', 'ss'))), '[\p{L}\p{N}]+')
+"""
+
+
+@R.query("p9_found", f"""
+WITH d AS (SELECT doc_id, {_WINDOWS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WINDOWS} AS w FROM eval_items),
+dw AS (SELECT DISTINCT doc_id, unnest(list_transform(generate_series(1, len(w) - 11), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) >= 12),
+iw AS (SELECT DISTINCT item_id, unnest(list_transform(generate_series(1, len(w) - 11), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)""")
+def p9_found(t: Tables) -> DataFrame:
+    return leakage.leaks(t.documents, t.eval_items).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+@R.query("p9_leaks")
+def p9_leaks(t: Tables) -> DataFrame:
+    found = leakage.leaks(t.documents, t.eval_items)
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+@R.query("p10_found")
+def p10_found(t: Tables) -> DataFrame:
+    found = language.document_passages(t.documents, t.lang_codes)
+    return language.wrong_labels(t.documents, found, t.lang_codes).select("doc_id", "lang_code")
+
+
+@R.query("p10_passages")
+def p10_passages(t: Tables) -> DataFrame:
+    return language.document_passages(t.documents, t.lang_codes)

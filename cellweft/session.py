@@ -86,4 +86,4 @@ def _at_exit() -> None:
 def fits_broadcast(df: DataFrame, limit_bytes: int = 32 << 20) -> bool:
     """Whether the optimizer's size estimate of ``df`` is under ``limit_bytes``; written tables have exact estimates."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) <= limit_bytes
+    return int(str(size)) <= limit_bytes
