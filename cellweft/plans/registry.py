@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cellweft.session import ship
+
 
 class Tables:
     """The tables of one data directory, opened on first use."""
@@ -31,7 +33,12 @@ class Registry:
         def put(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
             if name in self.queries:
                 raise ValueError(f"two queries are named {name}")
-            self.queries[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+
+            def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship(spark)
+                return f(Tables(spark, sf_dir))
+
+            self.queries[name] = run
             if sql:
                 self.sql[name] = sql
             return f
