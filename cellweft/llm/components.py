@@ -1,8 +1,8 @@
 """Groups of records linked directly or through others.
 
 The giant component is peeled first: breadth-first joins from the vertex of highest degree, whose visited set then stands for one
-vertex. The rest, many small components, is labelled by propagating minima, with pointer jumping so that a chain of length d needs
-about log d rounds. A record and what it matches by are the two sides of a bipartite graph, so a match key shared by a third of all
+vertex. The rest, many small components, is labelled by propagating minima, with the graph contracted after each round so that a chain
+of length d needs about log d rounds. A record and what it matches by are the two sides of a bipartite graph, so a match key shared by a third of all
 records is a star of that many edges, never all pairs.
 """
 
@@ -53,22 +53,25 @@ def _peel(edges: DataFrame, rounds: int) -> tuple[int | None, DataFrame | None]:
     return start, seen
 
 
-def _propagate(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, label) with the smallest id of each component as label. ``edges`` hold both directions."""
-    labels = cut(nodes.select("id", F.col("id").alias("label")))
-    while True:
-        # Smallest label around each vertex, its own included.
-        near = edges.join(labels.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        lower = labels.join(near.withColumnRenamed("u", "id"), "id", "left").select(
-            "id", F.least("label", F.coalesce("near", "label")).alias("next"), F.col("label").alias("was"))
-        lower = cut(lower)
-        # Pointer jump: take the label of one's label.
-        to = lower.select(F.col("id").alias("next"), F.col("next").alias("jump"))
-        jumped = cut(lower.join(to, "next", "left").select("id", F.least("next", F.coalesce("jump", "next")).alias("label"), "was"))
-        release(labels, lower)
-        labels = jumped
-        if labels.where("label <> was").isEmpty():
-            return labels.select("id", "label")
+def _propagate(edges: DataFrame) -> DataFrame:
+    """(id, label) with one vertex of each component as label. ``edges`` (written) hold both directions.
+
+    Each round every vertex takes the smallest vertex around it, itself included, and the graph shrinks to the vertices that were
+    taken. Of a chain about a third stay, so rounds grow with the logarithm of the longest chain and later rounds are small.
+    """
+    maps: list[DataFrame] = []
+    while not maps or not edges.isEmpty():
+        least = cut(edges.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("to")))
+        maps.append(least)
+        ends = edges.join(least.withColumnRenamed("to", "a"), "u").join(least.select(F.col("u").alias("v"), F.col("to").alias("b")), "v")
+        smaller = cut(ends.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        release(edges)
+        edges = smaller
+    labels = maps[-1]
+    for m in reversed(maps[:-1]):
+        up = labels.select(F.col("u").alias("to"), F.col("to").alias("top"))
+        labels = m.join(up, "to", "left").select("u", F.coalesce("top", "to").alias("to"))
+    return labels.select(F.col("u").alias("id"), F.col("to").alias("label"))
 
 
 def linked_groups(links: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> DataFrame:
@@ -91,7 +94,7 @@ def linked_groups(links: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> DataFrame
     rest = cut(contracted.where("gu IS NULL OR gv IS NULL").select(
         F.when(F.col("gu"), F.lit(start)).otherwise(F.col("u")).alias("u"), F.when(F.col("gv"), F.lit(start)).otherwise(F.col("v")).alias("v")).distinct())
     release(both)
-    labels = _propagate(rest, rest.select(F.col("u").alias("id")).distinct())
+    labels = cut(_propagate(rest))
     hub_label = labels.where(F.col("id") == start).select(F.col("label").alias("of_hub"))
     in_giant = seen.join(hub_label, how="left").select("id", F.coalesce("of_hub", F.lit(start)).alias("label"))
     every = in_giant.unionByName(labels.where(F.col("id") != start).join(seen, "id", "left_anti"))
