@@ -23,13 +23,13 @@ from cellweft.session import cut
 class RouterParams:
     """``sample_size`` bounds what is fitted on the driver; every vector is indexed and queried whatever it is."""
 
-    part_rows: int = 3000
-    sample_size: int = 12000
+    part_rows: int = 6000
+    sample_size: int = 16000
     graph_k: int = 10
     hidden: int = 96
     epochs: int = 24
-    coverage: float = 0.995
-    max_probes: int = 8
+    coverage: float = 0.97
+    max_probes: int = 6
     seed: int = 11
     #: Larger parts than this are searched in blocks of this many rows, each a group of its own.
     block_rows: int = 12000
@@ -41,7 +41,7 @@ def usable_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, *keep: st
     v = F.col(vec_col)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return df.where(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) == dim)).where(finite & F.exists(v, lambda x: x != 0)).select(
-        F.col(id_col).alias("id"), v.cast("array<double>").alias("vec"), *keep)
+        F.col(id_col).alias("id"), v.alias("vec"), *keep)
 
 
 def current_anchors(anchors: DataFrame) -> DataFrame:
@@ -59,6 +59,7 @@ def _vectors(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64, copy=False)
     # Dividing by the largest entry first keeps very large and very small vectors from over- or underflowing.
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -216,24 +217,24 @@ def nearest_classes(classes: DataFrame, dim: int, k: int, max_distance: float, p
             got = np.take_along_axis(prob, top, axis=1).cumsum(axis=1)
             ask = np.c_[np.ones(len(u), dtype=bool), got[:, :-1] < cover]
             row, rank = np.nonzero(ask)
-            flat = pa.array(np.ascontiguousarray(u[row]).reshape(-1))
+            at = pa.array(row)
             yield pa.RecordBatch.from_arrays([
-                pa.array(top[row, rank].astype(np.int32)), b.column("id").take(pa.array(row)), pa.array(rank == 0),
-                pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * dim), flat)], ["part", "id", "filed", "unit"])
+                pa.array(top[row, rank].astype(np.int32)), b.column("id").take(at), pa.array(rank == 0), b.column("vec").take(at)], ["part", "id", "filed", "vec"])
 
-    asked = cut(classes.select("id", "vec").mapInArrow(route, "part int, id string, filed boolean, unit array<double>"))
+    kind = classes.schema["vec"].dataType.simpleString()
+    asked = cut(classes.select("id", "vec").mapInArrow(route, f"part int, id string, filed boolean, vec {kind}"))
     # Large parts are searched in blocks: filed rows are spread over a blocks, asking rows over b, and each pair of blocks is a group.
     sizes = asked.groupBy("part").agg(F.count_if("filed").alias("nf"), F.count("*").alias("nq"))
     sizes = sizes.select("part", F.greatest(F.lit(1), F.ceil(F.col("nf") / p.block_rows)).alias("a"), F.greatest(F.lit(1), F.ceil(F.col("nq") / p.block_queries)).alias("b"))
     # One row a part, and parts number about rows / part_rows.
     rows = asked.join(sizes, "part")
     h = F.xxhash64("id", F.lit(5))
-    filed = rows.where("filed").select("part", F.pmod(h, F.col("a")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("j"), "id", "unit", F.lit(True).alias("is_filed"))
-    asking = rows.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("a") - 1)).alias("i"), F.pmod(h, F.col("b")).alias("j"), "id", "unit", F.lit(False).alias("is_filed"))
+    filed = rows.where("filed").select("part", F.pmod(h, F.col("a")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("j"), "id", "vec", F.lit(True).alias("is_filed"))
+    asking = rows.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("a") - 1)).alias("i"), F.pmod(h, F.col("b")).alias("j"), "id", "vec", F.lit(False).alias("is_filed"))
 
     def rerank(t: pa.Table) -> pa.Table:
         is_filed = t.column("is_filed").to_numpy()
-        u, ids = _vectors(t.column("unit"), dim), np.asarray(t.column("id").to_pylist(), dtype=object)
+        u, ids = _unit(_vectors(t.column("vec"), dim)), np.asarray(t.column("id").to_pylist(), dtype=object)
         fu, fi, qu, qi = u[is_filed], ids[is_filed], u[~is_filed], ids[~is_filed]
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         f32, q32 = fu.astype(np.float32), qu.astype(np.float32)
@@ -259,7 +260,7 @@ def nearest_classes(classes: DataFrame, dim: int, k: int, max_distance: float, p
 def most_similar(vectors: DataFrame, dim: int, k: int, max_distance: float = 2.0, params: RouterParams | None = None) -> DataFrame:
     """The k most similar other vectors of every vector: id, indices (ids by distance, then id), distances (1 - cosine).
 
-    ``vectors``: id (string, unique), vec (array<double>, ``dim`` usable numbers; see :func:`usable_vectors`). Copies count as
+    ``vectors``: id (string, unique), vec (array of ``dim`` usable numbers; see :func:`usable_vectors`). Copies count as
     vectors of distance 0. Neighbours beyond ``max_distance`` are left out; vectors without any get empty lists. An empty input
     gives no rows. Recall is below 1 where a neighbour lies in a part that was not asked; up to ``part_rows`` rows it is exact.
     """
