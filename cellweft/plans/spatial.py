@@ -152,7 +152,7 @@ def f14_text(t: Tables) -> DataFrame:
     return D.diversity(D.label_counts(V.anchors(t), ["slice_id"], "l2"), ["slice_id"], "l2").select("slice_id", "distribution")
 
 
-@R.query("p15_contingency", _W + """, c AS (SELECT l1, mouse_id, count(*) AS n FROM anchors WHERE l1 IS NOT NULL AND mouse_id IS NOT NULL GROUP BY ALL),
+@R.query("fate15_contingency", _W + """, c AS (SELECT l1, mouse_id, count(*) AS n FROM anchors WHERE l1 IS NOT NULL AND mouse_id IS NOT NULL GROUP BY ALL),
 m AS (SELECT *, sum(n) OVER (PARTITION BY l1) AS a, sum(n) OVER (PARTITION BY mouse_id) AS b, sum(n) OVER () AS t FROM c)
 SELECT l1, mouse_id, n, round(n / a, 6) AS share_of_a, round(n / b, 6) AS share_of_b, round(a * b / t, 6) AS expected, round(n / (a * b / t), 6) AS enrichment FROM m""")
 def p15_contingency(t: Tables) -> DataFrame:
