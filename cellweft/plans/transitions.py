@@ -317,9 +317,9 @@ _METRICS = _FATE + """, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER
 """
 
 
-@R.query("fate9_metrics", _METRICS + "SELECT id, round(top1, 6) AS top1, round(top1 - p2, 6) AS margin, round(h, 6) AS entropy, round(greatest(least(h / ln(8), 1), 0), 6) AS norm_entropy FROM q")
+@R.query("fate9_metrics", _METRICS + "SELECT id, round(top1, 9) AS top1, round(top1 - p2, 9) AS margin, round(h, 9) AS entropy, round(greatest(least(h / ln(8), 1), 0), 9) AS norm_entropy FROM q")
 def p9m(t: Tables) -> DataFrame:
-    return V.rounded(FT.metrics(_fate(t)[0], 8).drop("top_state"))
+    return V.rounded(FT.metrics(_fate(t)[0], 8).drop("top_state"), 9)
 
 
 @R.query("fate8_sums", _FATE + ", s AS (SELECT id, sum(prob) AS s FROM fate GROUP BY id) SELECT count(*) AS n_nodes, round(min(s), 6) AS min_sum, round(max(s), 6) AS max_sum, count(*) FILTER (abs(s - 1) > 1e-6) AS off FROM s")
