@@ -308,9 +308,9 @@ def _fate(t: Tables) -> tuple[DataFrame, DataFrame]:
     return FT.backward(e, n, FT.one_hot(markov.final_nodes(n), "l1")), n
 
 
-@R.query("fate7_backward", _FATE + "SELECT id, state, round(prob, 6) AS prob FROM fate")
+@R.query("fate7_backward", _FATE + "SELECT id, state, round(prob, 12) AS prob FROM fate")
 def p7b(t: Tables) -> DataFrame:
-    return V.rounded(_fate(t)[0])
+    return V.rounded(_fate(t)[0], 12)
 
 
 _METRICS = _FATE + """, k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(prob, 12) DESC, state) AS r FROM fate), q AS (SELECT id, max(state) FILTER (r = 1) AS top_state, max(prob) AS top1, coalesce(max(prob) FILTER (r = 2), 0) AS p2, sum(CASE WHEN prob > 0 THEN -prob * ln(prob) ELSE 0 END) AS h FROM k GROUP BY id)
