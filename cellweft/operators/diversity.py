@@ -59,9 +59,9 @@ def dominant_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     """(a, b, n, share_of_a, share_of_b, expected, enrichment) with expected = n_a * n_b / n."""
     n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))
-    wa, wb, every = Window.partitionBy(a), Window.partitionBy(b), F.sum("n").over(Window.partitionBy(F.lit(1)))
-    na, nb = F.sum("n").over(wa), F.sum("n").over(wb)
-    m = n.withColumn("_a", na).withColumn("_b", nb).withColumn("_n", every)
+    every = n.agg(F.sum("n").alias("_n"))
+    na, nb = F.sum("n").over(Window.partitionBy(a)), F.sum("n").over(Window.partitionBy(b))
+    m = n.withColumn("_a", na).withColumn("_b", nb).crossJoin(F.broadcast(every))  # one row
     e = F.col("_a") * F.col("_b") / F.col("_n")
     return m.select(a, b, "n", (F.col("n") / F.col("_a")).alias("share_of_a"), (F.col("n") / F.col("_b")).alias("share_of_b"), e.alias("expected"), (F.col("n") / e).alias("enrichment"))
 

@@ -39,10 +39,10 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def component_sizes(components: DataFrame) -> DataFrame:
     """(component, n, rank): sizes, the largest first, ties by name (K5, C14)."""
-    from pyspark.sql import Window
+    from cellweft.operators.markov import dense_index
 
-    n = components.groupBy("component").agg(F.count("*").alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "component")))
+    n = components.groupBy("component").agg(F.count("*").alias("n")).withColumn("_less", -F.col("n"))
+    return dense_index(n, ["_less", "component"], "rank").select("component", "n", (F.col("rank") + 1).alias("rank"))
 
 
 def strong_components(edges: list[tuple[str, str]], nodes: list[str]) -> dict[str, tuple[str, bool]]:

@@ -7,14 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweft.operators.markov import dense_index
+
 
 def combined_z(df: DataFrame, terms: dict[str, float], out: str = "phi") -> DataFrame:
     """Adds ``out``, the weighted sum of z-scores (population deviation; constant columns count 0), and its dense rank, best first."""
     stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in terms], *[F.stddev_pop(c).alias(f"_s_{c}") for c in terms])
     z = sum((F.coalesce((F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0)), F.lit(0.0)) * w for c, w in terms.items()), F.lit(0.0))
     scored = df.crossJoin(F.broadcast(stats)).withColumn(out, z).select(*df.columns, out)  # one row
-    # Ranked over distinct rounded values, which are far fewer than rows and the only thing one task orders.
-    v = scored.select(F.round(out, 9).alias("_v")).distinct().withColumn("rank", F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("_v"))))
+    # A dense rank is the index of the distinct value, which range partitions number without one task seeing all.
+    v = scored.select(F.round(out, 9).alias("_v")).distinct().withColumn("_less", -F.col("_v"))
+    v = dense_index(v, ["_less"], "rank").select("_v", (F.col("rank") + 1).alias("rank"))
     return scored.join(v, F.round(scored[out], 9) == F.col("_v")).drop("_v")
 
 
