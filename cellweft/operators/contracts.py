@@ -81,32 +81,103 @@ def component_weights(edges: DataFrame, state: str, tau: str, comp: Column, spat
     return g
 
 
-def lsh_candidates(a: DataFrame, b: DataFrame, vec: str, dim: int, k: int, tables: int = 8, bits: int = 12, seed: int = 1) -> DataFrame:
+def lsh_candidates(a: DataFrame, b: DataFrame, vec: str, dim: int, k: int, tables: int = 8, bits: int = 12, seed: int = 1, probes: int = 12, bucket_rows: int = 32, block_rows: int = 32768) -> DataFrame:
     """(src, dst, distance, rank): approximate nearest targets by the signs of random projections, reranked exactly.
 
-    Candidates agree in all ``bits`` signs of at least one of ``tables`` hash tables; the tables' buckets are equi-joined. A source
-    that shares none has no rows: the exact join is ``transitions.nearest_targets``.
+    Vectors are centred on the targets' mean. Codes have as many of ``bits`` as leave about ``bucket_rows`` targets a bucket. In each
+    of ``tables`` hash tables a source meets the targets of its own bucket and of the ``probes`` buckets that its projections are
+    nearest to. A task holds the buckets of about ``block_rows`` targets, so that a source comes once for several of its buckets, and
+    passes k targets a source on. Sources left with fewer than k rows are joined exactly, so every source has its k rows where there
+    are as many targets. Ties by dst. ``id`` is a string, vectors are finite and shuffled in their own type.
     """
     import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from cellweft.operators.transitions import nearest_targets
+    from cellweft.session import cut
+
+    a, b = a.select("id", F.col(vec).alias("vec")), b.select("id", F.col(vec).alias("vec"))
+    got = b.agg(F.count("*").alias("n"), *[F.avg(F.col("vec")[i]).alias(f"m{i}") for i in range(dim)]).first()
+    mean = np.array([got[f"m{i}"] or 0.0 for i in range(dim)])
+    used = min(bits, max(1, round(np.log2(max(got["n"], 1) / bucket_rows))))
+    blocks = 1 << min(used, max(0, int(np.ceil(np.log2(max(got["n"], 1) / block_rows)))))
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))[:, :used]
+    # What a probe flips: none, one or two signs; the cheapest by the squared projections it crosses come first.
+    flips = np.array([[i in f for i in range(used)] for f in [(), *[(i,) for i in range(used)], *[(i, j) for i in range(used) for j in range(i)]]])
+    mask = (flips << np.arange(used)).sum(axis=1)
+
+    def hashed(d: DataFrame, more: int) -> DataFrame:
+        def codes(batches):
+            for r in batches:
+                if not r.num_rows:
+                    continue
+                x = np.asarray(r.column("vec").flatten(), dtype=float).reshape(r.num_rows, dim) - mean
+                for t in range(tables):
+                    p = x @ planes[t].T
+                    h = ((p > 0) << np.arange(used)).sum(axis=1)[:, None] ^ mask[np.argsort(p * p @ flips.T, axis=1, kind="stable")[:, :more + 1]]
+                    # Row and block in order, one output row for each, with its buckets there.
+                    row, block = np.repeat(np.arange(len(h)), h.shape[1]), h.ravel() % blocks
+                    by = np.lexsort((block, row))
+                    row, block, code = row[by], block[by], h.ravel()[by]
+                    start = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])])
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[start, len(row)].astype(np.int32)), pa.array(code.astype(np.int32)))
+                    at = pa.array(row[start])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), t, dtype=np.int32)), pa.array(block[start].astype(np.int32)), lists, r.column("id").take(at), r.column("vec").take(at)], ["t", "block", "h", "id", "vec"])
+
+        return d.mapInArrow(codes, f"t int, block int, h array<int>, id string, vec {d.schema['vec'].dataType.simpleString()}")
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        rows = [(np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0))]
+        if x.num_rows and y.num_rows:
+            u, v = (np.asarray(z.column("vec").combine_chunks().flatten(), dtype=float).reshape(z.num_rows, -1) for z in (x, y))
+            uu, vv = (u * u).sum(1), (v * v).sum(1)
+            _, both = np.unique(np.array(x.column("id").to_pylist() + y.column("id").to_pylist(), dtype=object), return_inverse=True)
+            uid, vid = both[:len(u)], both[len(u):]
+            (su, hu), (sv, hv) = ((np.repeat(np.arange(z.num_rows), pc.list_value_length(h).to_numpy()), np.asarray(h.flatten())) for z, h in ((x, x.column("h").combine_chunks()), (y, y.column("h").combine_chunks())))
+            o, w = np.argsort(hu, kind="stable"), np.argsort(hv, kind="stable")
+            su, hu, sv, hv = su[o], hu[o], sv[w], hv[w]
+            for h in np.intersect1d(hu, hv):
+                every, c = su[np.searchsorted(hu, h):np.searchsorted(hu, h, "right")], sv[np.searchsorted(hv, h):np.searchsorted(hv, h, "right")]
+                most = min(k + 1, len(c))  # one more: a source may meet itself
+                for s in range(0, len(every), 512):
+                    i = every[s:s + 512]
+                    d2 = np.maximum(uu[i][:, None] + vv[c] - 2 * u[i] @ v[c].T, 0)
+                    p, q = np.nonzero(d2 <= np.partition(d2, most - 1, axis=1)[:, most - 1][:, None] + 1e-9)
+                    p, q = i[p], c[q]
+                    other = uid[p] != vid[q]
+                    p, q = p[other], q[other]
+                    # Exact distances for what is kept: the expanded square loses digits near zero.
+                    rows.append(_firsts(p, q, np.sqrt(((u[p] - v[q]) ** 2).sum(1)), vid, k))
+        p, q, d = _firsts(*(np.concatenate([r[i] for r in rows]) for i in range(3)), vid if len(rows) > 1 else np.zeros(0, dtype=int), k)
+        start = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else np.zeros(0, dtype=int)
+        near = pa.StructArray.from_arrays([pa.array(d), y.column("id").combine_chunks().take(pa.array(q))], ["distance", "dst"])
+        return pa.table({"src": x.column("id").take(pa.array(p[start])), "near": pa.ListArray.from_arrays(pa.array(np.r_[start, len(p)].astype(np.int32)), near)})
+
+    s, t = hashed(a, probes), hashed(b, 0)
+    s, t = s.toDF(*s.columns), t.toDF(*t.columns)  # both may come from one frame
+    local = s.groupBy("t", "block").cogroup(t.groupBy("t", "block")).applyInArrow(best, "src string, near array<struct<distance:double,dst:string>>")
+    # At most k targets from each of a source's blocks.
+    every = local.groupBy("src").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+    near = cut(every.select("src", F.posexplode("near").alias("i", "c")).select("src", "c.dst", "c.distance", (F.col("i") + 1).alias("rank")))
+    full = near.where(F.col("rank") == k).select(F.col("src").alias("id"))
+    short = cut(a.join(full, "id", "left_anti"))
+    if short.isEmpty():
+        return near
+    pair, w = F.lit("").alias("time_pair"), Window.partitionBy("src").orderBy("distance", "dst")
+    rest = nearest_targets(short.select(pair, "id", "vec"), b.select(pair, "id", "vec"), k + 1).where("src <> dst")
+    rest = rest.select("src", "dst", "distance").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return near.join(full.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(rest)
+
+
+def _firsts(p, q, d, order, k: int):
+    """The ``k`` nearest of each ``p``, ties by ``order`` of ``q``; sorted by ``p``."""
+    import numpy as np
 
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
-
-    def bucket(i: int) -> Column:
-        code = F.lit(0)
-        for j in range(bits):
-            w = F.array(*[F.lit(float(x)) for x in planes[i, j]])
-            code = code + F.when(F.aggregate(F.zip_with(vec, w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) > 0, 1 << j).otherwise(0)
-        return F.struct(F.lit(i).alias("t"), code.alias("h"))
-
-    def hashed(d: DataFrame, name: str) -> DataFrame:
-        return d.select(F.col("id").alias(name), F.explode(F.array(*[bucket(i) for i in range(tables)])).alias("bucket"))
-
-    # Pairs are made distinct before any vector is attached.
-    pairs = hashed(a, "src").join(hashed(b, "dst"), "bucket").where("src <> dst").select("src", "dst").distinct()
-    pairs = pairs.join(a.select(F.col("id").alias("src"), F.col(vec).alias("v_src")), "src").join(b.select(F.col("id").alias("dst"), F.col(vec).alias("v_dst")), "dst")
-    d = F.sqrt(F.aggregate(F.zip_with("v_src", "v_dst", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    w = Window.partitionBy("src").orderBy("distance", "dst")
-    return pairs.select("src", "dst", d.alias("distance")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    by = np.lexsort((order[q], d, p))
+    p, q, d = p[by], q[by], d[by]
+    keep = np.arange(len(p)) - np.searchsorted(p, p) < k
+    return p[keep], q[keep], d[keep]
 
 
 def resumed(spark: SparkSession, path: str, make: Callable[[], DataFrame], valid: Callable[[DataFrame], bool], refuse: bool = False) -> DataFrame:

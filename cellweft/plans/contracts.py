@@ -41,7 +41,7 @@ def t11(t: Tables) -> DataFrame:
 
 @R.query("t3_approximate_candidates")
 def t3(t: Tables) -> DataFrame:
-    v = _vectors(t).select("id", "vec")
+    v = _vectors(t).select("id", F.col("features").alias("vec"))
     return C.lsh_candidates(v, v, "vec", 48, 5)
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweft.functions import scalars as S
-from cellweft.operators import coarsen, compare, diversity, fate, gates, graph, lineage, markov, scaling
+from cellweft.operators import coarsen, compare, contracts, diversity, fate, gates, graph, lineage, markov, scaling
 from cellweft.operators import transitions as T
 from cellweft.sources import tables as IO
 from cellweft.streaming import windows as ST
@@ -196,3 +196,39 @@ def test_compare(spark):
     b = spark.createDataFrame([("s", "y", 1), ("s", "z", 2)], "src string, dst string, rank int")
     r = compare.candidate_overlap(a, b).first()
     assert (r["recall"], r["top1_same"]) == (0.5, False) and r["jaccard"] == pytest.approx(1 / 3)
+
+
+def exact_five(rows):
+    ids, x = np.array([r["id"] for r in rows], dtype=object), np.array([r["vec"] for r in rows])
+    order = np.argsort(ids)
+    ids, x = ids[order], x[order]
+    sq, want = (x * x).sum(1), set()
+    for at in range(0, len(x), 1000):
+        z = x[at:at + 1000]
+        d = (z * z).sum(1)[:, None] + sq - 2 * z @ x.T
+        d[np.arange(len(z)), np.arange(at, at + len(z))] = np.inf
+        want |= {(ids[at + i], ids[j]) for i, js in enumerate(np.argsort(d, axis=1, kind="stable")[:, :5]) for j in js}
+    return ids, want
+
+
+def test_approximate_candidates_reach_their_recall_on_the_whole_table(spark, sf):
+    from cellweft.plans import transitions as PT
+    from cellweft.plans.contracts import R
+    from cellweft.plans.registry import Tables
+
+    ids, want = exact_five(PT._vectors(Tables(spark, sf("0.1"))).select("id", "vec").collect())
+    got = R.queries["t3_approximate_candidates"](spark, sf("0.1")).collect()
+    recall = len({(r["src"], r["dst"]) for r in got} & want) / len(want)
+    print(f"recall@5 {recall:.4f} over {len(ids)} sources")
+    assert len(got) == 5 * len(ids) and recall >= 0.9
+
+
+def test_approximate_candidates_leave_no_source_out(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(300, 8)), 40 * rng.normal(size=(40, 8)), np.zeros((30, 8))])
+    df = spark.createDataFrame([(f"a{i:03d}", [float(v) for v in r]) for i, r in enumerate(x)], "id string, vec array<double>")
+    got = contracts.lsh_candidates(df, df, "vec", 8, 5, tables=1, probes=0, bucket_rows=4).collect()
+    assert len(got) == 5 * len(x) and len({(r["src"], r["dst"]) for r in got}) == len(got) and all(r["src"] != r["dst"] for r in got)
+    few = contracts.lsh_candidates(df.limit(3), df.limit(3), "vec", 8, 5).collect()
+    assert len(few) == 6
+    assert contracts.lsh_candidates(df.where("false"), df.where("false"), "vec", 8, 5).collect() == []
