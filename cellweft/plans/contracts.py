@@ -16,7 +16,7 @@ from cellweft.plans import views as V
 from cellweft.plans.lineage import _JOINT
 from cellweft.plans.registry import Registry, Tables
 from cellweft.plans.spatial import _MEM, _POINTS, _RADIUS, _pts
-from cellweft.plans.transitions import _DAYED, _METRICS, _dayed, _fate, _nodes, _vectors
+from cellweft.plans.transitions import _COMPONENTS, _DAYED, _METRICS, _dayed, _fate, _nodes, _vectors
 
 R = Registry()
 _A, _AE = "WITH " + V.ANCHORS, "WITH " + V.ANCHORS + "," + V.EDGES
@@ -128,3 +128,19 @@ def c14(t: Tables) -> DataFrame:
     c = weak_components(_nodes(t), e)
     big = c.join(component_sizes(c).where("rank = 1").select("component"), "component", "left_semi").select("id")
     return V.rounded(markov.restricted(e, big))
+
+
+@R.query("c14_all_edges", _COMPONENTS + """, big AS (SELECT id FROM w WHERE m = (SELECT m FROM w GROUP BY m ORDER BY count(*) DESC, m LIMIT 1)), s AS (SELECT src, dst, sum(p) AS x FROM de WHERE src IN (SELECT id FROM big) AND dst IN (SELECT id FROM big) GROUP BY ALL)
+SELECT src, dst, round(x / sum(x) OVER (PARTITION BY src), 6) AS p FROM s UNION ALL SELECT id, id, 1.0 FROM big WHERE id NOT IN (SELECT src FROM s)""")
+def c14_all(t: Tables) -> DataFrame:
+    return V.rounded(_in_largest_component(_nodes(t), _dayed(t)))
+
+
+def _in_largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """All edges of the largest weak component, renormalised, with a self-loop where a node has none (C14)."""
+    from cellweft.operators.graph import component_sizes, weak_components
+    from cellweft.session import cut
+
+    c = cut(weak_components(nodes, edges))
+    big = c.join(component_sizes(c).where("rank = 1").select("component"), "component", "left_semi").select("id")
+    return markov.with_self_loops(big, markov.restricted(edges, big))

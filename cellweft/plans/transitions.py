@@ -251,6 +251,14 @@ def m11(t: Tables) -> DataFrame:
     return graph.weak_components(_nodes(t), _dayed(t).where("p >= 0.02"))
 
 
+_COMPONENTS = _DAYED + ", u AS (SELECT src AS a, dst AS b FROM de UNION SELECT dst, src FROM de), w AS (WITH RECURSIVE r(id, m) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT u.a, min(r.m) FROM r JOIN u ON u.b = r.id JOIN recurring.r q ON q.id = u.a WHERE r.m < q.m GROUP BY u.a) SELECT * FROM r)"
+
+
+@R.query("m11_all_components", _COMPONENTS + " SELECT id, m AS component FROM w")
+def m11_all(t: Tables) -> DataFrame:
+    return graph.weak_components(_nodes(t), _dayed(t))
+
+
 @R.query("m12_mass_direction", _DAYED + """, m AS (SELECT sum(p) AS total, coalesce(sum(p) FILTER (target_day > source_day), 0) AS forward, coalesce(sum(p) FILTER (target_day = source_day AND src <> dst), 0) AS within, coalesce(sum(p) FILTER (target_day < source_day), 0) AS backward, coalesce(sum(p) FILTER (src = dst), 0) AS self FROM de)
 SELECT round(total, 6) AS total, round(forward, 6) AS forward, round(within, 6) AS within, round(backward, 6) AS backward, round(self, 6) AS self, round(forward / total, 6) AS forward_share, round(within / total, 6) AS within_share, round(backward / total, 6) AS backward_share, round(self / total, 6) AS self_share FROM m""")
 def m12(t: Tables) -> DataFrame:

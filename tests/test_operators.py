@@ -232,3 +232,43 @@ def test_approximate_candidates_leave_no_source_out(spark):
     few = contracts.lsh_candidates(df.limit(3), df.limit(3), "vec", 8, 5).collect()
     assert len(few) == 6
     assert contracts.lsh_candidates(df.where("false"), df.where("false"), "vec", 8, 5).collect() == []
+
+
+def test_components_over_every_edge(spark):
+    from cellweft.plans.contracts import _in_largest_component
+
+    # A chain whose links are all under 0.02, one pair apart, one lone node.
+    anchors = spark.createDataFrame([(c, 1) for c in "ABCDEFG"], "id string, day int")
+    edges = spark.createDataFrame([("A", "B", 0.01), ("A", "C", 0.5), ("B", "D", 0.015), ("E", "F", 0.9)], "src string, dst string, p double")
+    got = {(r["src"], r["dst"]): r["p"] for r in _in_largest_component(anchors, edges).collect()}
+    assert got == {("A", "B"): pytest.approx(0.01 / 0.51), ("A", "C"): pytest.approx(0.5 / 0.51), ("B", "D"): 1.0, ("C", "C"): 1.0, ("D", "D"): 1.0}
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.1"])
+def test_component_queries_drop_no_small_edge(spark, sf, size):
+    from cellweft.plans import contracts as PC
+    from cellweft.plans import transitions as PT
+    from cellweft.plans.registry import Tables
+
+    t = Tables(spark, sf(size))
+    ids = [r["id"] for r in PT._nodes(t).select("id").collect()]
+    edges = [(r["src"], r["dst"]) for r in PT._dayed(t).select("src", "dst").collect()]
+    up = {i: i for i in ids}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for x, y in edges:
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    want = {i: root(i) for i in ids}
+    assert {r["id"]: r["component"] for r in PT.R.queries["m11_all_components"](spark, sf(size)).collect()} == want
+    n = {c: list(want.values()).count(c) for c in set(want.values())}
+    top = min(n, key=lambda c: (-n[c], c))
+    inside = {e for e in edges if want[e[0]] == top and want[e[1]] == top}
+    sources = {s for s, _ in inside}
+    got = PC.R.queries["c14_all_edges"](spark, sf(size)).collect()
+    assert {(r["src"], r["dst"]) for r in got} == inside | {(i, i) for i in ids if want[i] == top and i not in sources}
