@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cellweft.functions.scalars import joint_alleles, locus
 from cellweft.operators.graph import component_sizes, weak_components
 from cellweft.operators.lineage import LOCI
+from cellweft.operators.pairs import basket_pairs
 
 
 # --- signatures ------------------------------------------------------------------------------------------------------
@@ -37,14 +38,14 @@ def cell_complexity(evidence: DataFrame, q: float = 0.99) -> DataFrame:
 def compatibility_graph(evidence: DataFrame, least: int = 2) -> DataFrame:
     """(src, dst, observed, jaccard): features together in at least ``least`` cells (K4). ``evidence``: cell_key, feature.
 
-    An equi-join of cells with themselves. Features in fewer cells than ``least`` cannot be in a pair and are dropped first.
+    Cells are paired in blocks of their features. Features in fewer cells than ``least`` cannot be in a pair and are dropped first.
     """
-    e = evidence.select("cell_key", "feature").distinct()
+    e = evidence.select("cell_key", "feature").where("cell_key IS NOT NULL AND feature IS NOT NULL").distinct()
     n = e.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    e = e.join(n, "feature")
-    a, b = e.select("cell_key", F.col("feature").alias("src"), F.col("n").alias("na")), e.select("cell_key", F.col("feature").alias("dst"), F.col("n").alias("nb"))
-    p = a.join(b, "cell_key").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("observed"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return p.where(F.col("observed") >= least).select("src", "dst", "observed", (F.col("observed") / (F.col("na") + F.col("nb") - F.col("observed"))).alias("jaccard"))
+    kept = e.join(n.select("feature"), "feature", "left_semi")
+    p = basket_pairs(kept.select(F.col("cell_key").alias("basket"), F.col("feature").alias("item"))).where(F.col("n") >= least).toDF("src", "dst", "observed")
+    p = p.join(n.toDF("src", "na"), "src").join(n.toDF("dst", "nb"), "dst")
+    return p.select("src", "dst", "observed", (F.col("observed") / (F.col("na") + F.col("nb") - F.col("observed"))).alias("jaccard"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
