@@ -1,8 +1,9 @@
 """Referential integrity from signed change deltas.
 
-A ledger holds, per (table, key), how many rows refer to the key and how many live registrations it has. A change is a signed
-row: +1 when a reference or registration appears, -1 when it goes. Merging is a sum, so deltas may come in any order or
-number of batches, and a key referred to by a third of all rows is one compact state per task before the shuffle.
+A ledger holds, per (registry, key), how many rows of each month refer to the key and how many live registrations of each pair of times
+it has. A change is a signed row: +1 when a reference or registration appears, -1 when it goes. Times are part of what is counted, so
+merging is a sum whatever goes, in any order or number of batches: a registration that is retracted takes its times along. A key
+referred to by a third of all rows is one compact state per month and task before the shuffle.
 """
 
 from __future__ import annotations
@@ -15,53 +16,59 @@ from pyspark.sql import functions as F
 from cellweft.functions.keys import cell_key, key, month
 
 LEDGER = ["registry", "ref_key"]
-
-
-def _signed(rows: DataFrame, refs: Column, exists: Column) -> DataFrame:
-    """One shape for both kinds of delta; times that do not apply are null."""
-    time = {c: F.col(c) if c in rows.columns else F.lit(None).cast("timestamp_ntz") for c in ("loaded_at", "registered_at", "deleted_at")}
-    return rows.where("ref_key IS NOT NULL").select(
-        *LEDGER, refs.cast("long").alias("refs"), exists.cast("long").alias("exists"),
-        time["loaded_at"].alias("first_load"), time["loaded_at"].alias("last_load"),
-        time["registered_at"].alias("registered_at"), time["deleted_at"].alias("deleted_at"),
-    )
+#: What a count is of: references have the month of loading (null if not known), registrations their times.
+COUNTED = [*LEDGER, "is_reference", "load_month", "registered_at", "deleted_at"]
+_NEVER = "timestamp_ntz"
 
 
 def reference_deltas(rows: DataFrame, sign: int | Column = 1) -> DataFrame:
     """Signed references. ``rows``: registry, ref_key, loaded_at. Null references are no references.
 
-    The load times bound when the key was needed.
+    The months of loading bound when the key was needed.
     """
-    return _signed(rows, sign if isinstance(sign, Column) else F.lit(sign), F.lit(0))
+    n = sign if isinstance(sign, Column) else F.lit(sign)
+    none = F.lit(None).cast(_NEVER)
+    return rows.where("ref_key IS NOT NULL").select(
+        *LEDGER, F.lit(True).alias("is_reference"), F.date_trunc("month", "loaded_at").cast(_NEVER).alias("load_month"),
+        none.alias("registered_at"), none.alias("deleted_at"), n.cast("long").alias("n"))
 
 
 def existence_deltas(rows: DataFrame, sign: int | Column = 1) -> DataFrame:
     """Signed registrations. ``rows``: registry, ref_key, registered_at, deleted_at.
 
     Repeated rows of one key are one registration (counts above zero only mean "exists"); were their times to differ, the
-    earliest registration and the latest deletion hold.
+    earliest registration and the latest deletion of those that are left hold.
     """
-    return _signed(rows, F.lit(0), sign if isinstance(sign, Column) else F.lit(sign))
+    n = sign if isinstance(sign, Column) else F.lit(sign)
+    return rows.where("ref_key IS NOT NULL").select(
+        *LEDGER, F.lit(False).alias("is_reference"), F.lit(None).cast(_NEVER).alias("load_month"),
+        F.col("registered_at").cast(_NEVER).alias("registered_at"), F.col("deleted_at").cast(_NEVER).alias("deleted_at"), n.cast("long").alias("n"))
 
 
 def merge(*parts: DataFrame) -> DataFrame:
-    """Sum ledgers and deltas in one aggregation; keys whose counts are both zero leave the ledger."""
+    """Sum ledgers and deltas in one aggregation; counts of zero leave the ledger."""
     both = reduce(DataFrame.unionByName, parts)
-    return both.groupBy(*LEDGER).agg(
-        F.sum("refs").alias("refs"), F.sum("exists").alias("exists"), F.min("first_load").alias("first_load"),
-        F.max("last_load").alias("last_load"), F.min("registered_at").alias("registered_at"), F.max("deleted_at").alias("deleted_at"),
-    ).where("refs <> 0 OR exists <> 0")
+    return both.groupBy(*COUNTED).agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def key_states(ledger: DataFrame) -> DataFrame:
+    """Per key: refs, exists, first_month and last_month of its references, registered_at (earliest), deleted_at (latest)."""
+    ref, there = F.col("is_reference") & (F.col("n") > 0), ~F.col("is_reference") & (F.col("n") > 0)
+    return ledger.groupBy(*LEDGER).agg(
+        F.sum(F.when(F.col("is_reference"), F.col("n")).otherwise(0)).alias("refs"), F.sum(F.when(F.col("is_reference"), 0).otherwise(F.col("n"))).alias("exists"),
+        F.min(F.when(ref, F.col("load_month"))).alias("first_month"), F.max(F.when(ref, F.col("load_month"))).alias("last_month"),
+        F.min(F.when(there, F.col("registered_at"))).alias("registered_at"), F.max(F.when(there, F.col("deleted_at"))).alias("deleted_at"))
 
 
 def orphan_keys(ledger: DataFrame) -> DataFrame:
     """Keys with positive references and no existence: the current orphan report."""
-    return ledger.where("refs > 0 AND exists <= 0").select(*LEDGER, "refs")
+    return key_states(ledger).where("refs > 0 AND exists <= 0").select(*LEDGER, "refs")
 
 
 def suspect_keys(ledger: DataFrame) -> DataFrame:
     """Referenced keys of which some row may be missing, late or deleted; all other keys cannot give a case."""
-    return ledger.where(
-        "refs > 0 AND (exists <= 0 OR registered_at > first_load OR deleted_at <= last_load)"
+    return key_states(ledger).where(
+        "refs > 0 AND (exists <= 0 OR registered_at > first_month OR deleted_at < last_month + INTERVAL 1 MONTH)"
     ).select(*LEDGER, (F.col("exists") > 0).alias("known"), "registered_at", "deleted_at")
 
 

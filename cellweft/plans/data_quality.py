@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from cellweft.operators import hotkeys, references
 from cellweft.plans.registry import Registry, Tables
+from cellweft.session import cut
 
 R = Registry()
 
@@ -55,11 +56,15 @@ WITH refs AS (
 """
 
 
-def _faulty(t: Tables) -> DataFrame:
+def _ledger(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(references, ledger): the written ledger of registrations, into which the references are merged as a change."""
     refs = references.lineage_references(t.transition_edges, t.cellbin_clone_assignment, t.cellbin_feature_evidence)
-    keys = references.lineage_registrations(t.niche_anchors, t.atlas_anchors, t.cellbins)
-    ledger = references.merge(references.reference_deltas(refs), references.existence_deltas(keys))
-    return references.faulty_references(refs, ledger)
+    held = cut(references.merge(references.existence_deltas(references.lineage_registrations(t.niche_anchors, t.atlas_anchors, t.cellbins))))
+    return refs, references.merge(held, references.reference_deltas(refs))
+
+
+def _faulty(t: Tables) -> DataFrame:
+    return references.faulty_references(*_ledger(t))
 
 
 @R.query("p7_found", _REFS + "SELECT * FROM cases WHERE state IS NOT NULL")
@@ -76,6 +81,4 @@ def p7_report(t: Tables) -> DataFrame:
 SELECT r.registry, r.ref_key, count(*) AS refs FROM refs r LEFT JOIN keys k ON r.registry = k.registry AND r.ref_key = k.ref_key
 WHERE r.ref_key IS NOT NULL AND k.ref_key IS NULL GROUP BY ALL""")
 def p7_orphan_keys(t: Tables) -> DataFrame:
-    refs = references.lineage_references(t.transition_edges, t.cellbin_clone_assignment, t.cellbin_feature_evidence)
-    keys = references.lineage_registrations(t.niche_anchors, t.atlas_anchors, t.cellbins)
-    return references.orphan_keys(references.merge(references.reference_deltas(refs), references.existence_deltas(keys)))
+    return references.orphan_keys(_ledger(t)[1])

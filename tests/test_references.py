@@ -33,6 +33,24 @@ def test_deltas_in_any_order_and_removals(spark):
     assert none.collect() == []
 
 
+def test_retracted_times_go(spark):
+    """A registration of 5 January is replaced by one of 5 March; the reference was loaded on 1 February, in any order of merging."""
+    old, new = D(2031, 1, 5), D(2031, 3, 5)
+    refs = spark.createDataFrame([("t", 1, "a", "x", T2)], REF)
+    reg = lambda at, sign: R.existence_deltas(spark.createDataFrame([("a", "x", at, None)], KEY), sign)
+    first = R.merge(R.reference_deltas(refs), reg(old, 1))
+    assert R.faulty_references(refs, first).collect() == []
+    for deltas in ([reg(old, -1), reg(new, 1)], [reg(new, 1), reg(old, -1)]):
+        led = first
+        for d in deltas:
+            led = R.merge(led, d)
+        assert [tuple(r) for r in R.faulty_references(refs, led).collect()] == [("t", 1, "late", "2031-02")]
+    # A deletion that is taken back, and a reference that moves to a later month.
+    gone = R.existence_deltas(spark.createDataFrame([("a", "x", old, T1)], KEY))
+    undone = R.merge(R.merge(R.reference_deltas(refs), gone), R.existence_deltas(spark.createDataFrame([("a", "x", old, T1)], KEY), -1), reg(old, 1))
+    assert R.faulty_references(refs, undone).collect() == []
+
+
 def test_empty(spark):
     assert ledger(spark, [], []).collect() == []
     assert R.faulty_references(spark.createDataFrame([], REF), ledger(spark, [], [])).collect() == []
