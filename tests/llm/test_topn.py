@@ -24,10 +24,20 @@ def test_hot_group_ties_nulls(spark):
     assert sorted(map(tuple, got), key=repr) == brute(rows, 3)
 
 
-def test_local_pruning_keeps_ties_and_small_groups():
-    t = pa.table({"g": ["a"] * 6 + ["b"], "s": [5.0, 4, 3, 3, 2, 1, 0.5], "t": list("uvwxyzq"), "_bound": [0.0] * 7})
-    kept = topn._prune(t, "g", "s", 3)
-    assert sorted(kept.column("t").to_pylist()) == ["q", "u", "v", "w", "x"]
+def test_a_task_hands_on_n_rows_of_a_group_even_of_equal_scores():
+    t = pa.table({"g": ["a"] * 6 + ["b"], "s": [5.0, 4, 3, 3, 2, 1, 0.5], "t": list("uvwxyzq"), "_is_bound": [False] * 7})
+    kept = topn._prune(t, "g", "s", "t", 3)
+    assert sorted(zip(kept.column("t").to_pylist(), kept.column("_is_bound").to_pylist())) == [("q", False), ("u", False), ("v", False), ("w", True)]
+    n = 50_000
+    same = pa.table({"g": [None] * n, "s": [1.0] * n, "t": [f"t{i:06d}" for i in reversed(range(n))], "_is_bound": [False] * n})
+    assert sorted(topn._prune(same, "g", "s", "t", 2).column("t").to_pylist()) == ["t000000", "t000001"]
+
+
+def test_hot_group_of_equal_scores(spark, monkeypatch):
+    monkeypatch.setattr(topn, "PRUNE_ROWS", 500)
+    rows = [("hot", 1.0, f"t{i * 7919 % 20000:05d}") for i in range(20000)]
+    df = spark.createDataFrame(rows, "g string, s double, t string").repartition(9)
+    assert sorted(map(tuple, topn.top_n(df, "g", "s", "t", 3).select("g", "t", "rank_no").collect())) == [("hot", f"t{i:05d}", i + 1) for i in range(3)]
 
 
 def test_many_groups_are_handed_on(spark, monkeypatch):
