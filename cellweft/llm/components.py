@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from cellweft.session import cut, release
 
-#: Breadth-first rounds spent on the giant component before it is contracted and the rest propagates.
-PEEL_ROUNDS = 6
+#: Peeling goes on until the frontier is empty. It also ends when this many rounds in succession each found less than PEEL_SHARE of
+#: what is visited already: then a long thin tail hangs on the giant component, which contraction takes in few rounds.
+PEEL_THIN_ROUNDS = 4
+PEEL_SHARE = 0.02
 
 
 def _numbered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -33,24 +35,30 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
 
 
-def _peel(edges: DataFrame, rounds: int) -> tuple[int | None, DataFrame | None]:
-    """Vertices reached from the vertex of highest degree in at most ``rounds`` joins, that vertex, all written."""
+def _peel(edges: DataFrame, thin_rounds: int | None) -> tuple[int | None, DataFrame | None]:
+    """(vertex of highest degree, vertices reached from it, written); ``thin_rounds`` None goes on until nothing new is reached."""
     hub = edges.groupBy("u").count().orderBy(F.desc("count"), "u").limit(1).collect()
     if not hub:
         return None, None
     start = hub[0]["u"]
     visited = frontier = edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("id"))
     old: list[DataFrame] = []
-    for _ in range(rounds):
+    seen, thin = 1, 0
+    while True:
         reached = edges.join(frontier.withColumnRenamed("id", "u"), "u").select(F.col("v").alias("id")).distinct()
         frontier = cut(reached.join(visited, "id", "left_anti"))
         old.append(frontier)
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             break
         visited = visited.unionByName(frontier)
-    seen = cut(visited)
+        thin = thin + 1 if n < PEEL_SHARE * seen else 0
+        seen += n
+        if thin_rounds is not None and thin >= thin_rounds:
+            break
+    all_seen = cut(visited)
     release(*old)
-    return start, seen
+    return start, all_seen
 
 
 def _propagate(edges: DataFrame) -> DataFrame:
@@ -74,20 +82,21 @@ def _propagate(edges: DataFrame) -> DataFrame:
     return labels.select(F.col("u").alias("id"), F.col("to").alias("label"))
 
 
-def linked_groups(links: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> DataFrame:
+def linked_groups(links: DataFrame, thin_rounds: int | None = PEEL_THIN_ROUNDS) -> DataFrame:
     """Components over ``links`` (record, match_key): one row per record with its ``group_id``, the smallest record of its group.
 
     Two records are linked if they share a match key. Null records or keys link nothing and give no rows; repeated links count
-    once; an empty input gives no rows. Records are strings; the smallest is by code point.
+    once; an empty input gives no rows. Records are strings; the smallest is by code point. ``thin_rounds``: see PEEL_THIN_ROUNDS; groups
+    are the same whatever it is.
     """
     links = links.where("record IS NOT NULL AND match_key IS NOT NULL").select("record", "match_key").distinct()
     nodes, edges = _numbered(links)
     both = cut(_both(edges))
     release(edges)
-    start, seen = _peel(both, peel_rounds)
+    start, seen = _peel(both, thin_rounds)
     if start is None:
         return nodes.where("side = 0").select(F.col("name").alias("record"), F.col("name").alias("group_id"))
-    # The visited set becomes one vertex; edges inside it go, edges out of it (if peeling stopped early) start at the hub.
+    # The visited set becomes one vertex; edges inside it go, edges out of it (if peeling stopped at a thin tail) start at the hub.
     giant = seen.select(F.col("id").alias("u"), F.lit(True).alias("gu"))
     out_u = both.join(giant, "u", "left")
     contracted = out_u.join(giant.select(F.col("u").alias("v"), F.col("gu").alias("gv")), "v", "left")
@@ -95,8 +104,9 @@ def linked_groups(links: DataFrame, peel_rounds: int = PEEL_ROUNDS) -> DataFrame
         F.when(F.col("gu"), F.lit(start)).otherwise(F.col("u")).alias("u"), F.when(F.col("gv"), F.lit(start)).otherwise(F.col("v")).alias("v")).distinct())
     release(both)
     labels = cut(_propagate(rest))
-    hub_label = labels.where(F.col("id") == start).select(F.col("label").alias("of_hub"))
-    in_giant = seen.join(hub_label, how="left").select("id", F.coalesce("of_hub", F.lit(start)).alias("label"))
+    # If peeling stopped at a thin tail, propagation gave the hub a label.
+    hub_label = labels.where(F.col("id") == start).select("label").head()
+    in_giant = seen.select("id", F.lit(hub_label["label"] if hub_label else start).cast("long").alias("label"))
     every = in_giant.unionByName(labels.where(F.col("id") != start).join(seen, "id", "left_anti"))
     records = nodes.where("side = 0").join(every, "id").select(F.col("name").alias("record"), "label")
     least = records.groupBy("label").agg(F.min("record").alias("group_id"))

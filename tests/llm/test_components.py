@@ -27,14 +27,20 @@ def run(spark, links, **k):
     return sorted(map(tuple, components.linked_groups(df, **k).collect()))
 
 
-@pytest.mark.parametrize("rounds", [0, 2, 6])
+@pytest.mark.parametrize("rounds", [None, 1, 4])
 def test_chains_hub_and_singles(spark, rounds):
     chain = [(f"c{i:03d}", f"k{i}") for i in range(60)] + [(f"c{i:03d}", f"k{i + 1}") for i in range(60)]
     hub = [(f"h{i:03d}", "hub") for i in range(80)] + [("h001", "k0x"), ("z", "k0x")]
     rng = np.random.default_rng(2)
     small = [(f"s{rng.integers(90)}", f"m{rng.integers(70)}") for _ in range(90)]
     links = chain + hub + small + [("lone", "only"), (None, "hub"), ("lone", None), ("lone", "only")]
-    assert run(spark, links, peel_rounds=rounds) == brute(links)
+    assert run(spark, links, thin_rounds=rounds) == brute(links)
+
+
+@pytest.mark.parametrize("rounds", [None, 1])
+def test_thin_tail_of_the_giant_component(spark, rounds):
+    links = [(f"h{i:04d}", "hub") for i in range(300)] + [("h0000", "t0")] + [(f"t{i}", f"t{i + d}") for i in range(9) for d in (0, 1)]
+    assert run(spark, links, thin_rounds=rounds) == brute(links)
 
 
 def test_empty(spark):
