@@ -21,20 +21,39 @@ from cellweft.session import cut
 
 @dataclass(frozen=True)
 class RouterParams:
-    """``sample_size`` bounds what is fitted on the driver; every vector is indexed and queried whatever it is."""
+    """What is fitted on the driver is bounded by ``sample_limit``; every vector is indexed and queried whatever these are.
 
-    part_rows: int = 6000
-    sample_size: int = 16000
+    There are rows / ``part_rows`` parts, at least ``min_parts``, as long as each has 8 sample vectors; the sample grows with the parts (16
+    vectors each) up to ``sample_limit``. Past ``sample_limit`` / 8 parts (18 million distinct vectors as set here) parts grow with the
+    rows unless ``sample_limit`` is raised.
+    """
+
+    part_rows: int = 1500
+    min_parts: int = 8
+    sample_size: int = 24_000
+    sample_limit: int = 96_000
     graph_k: int = 10
-    hidden: int = 96
+    hidden: int = 192
     epochs: int = 24
-    coverage: float = 0.97
-    max_probes: int = 6
+    #: A vector asks its most probable parts until their probabilities sum to this, at most ``max_probes`` of them.
+    coverage: float = 0.93
+    #: None: 12, or the square root of the number of parts if that is more.
+    max_probes: int | None = None
     seed: int = 11
     #: Larger parts than this are searched in blocks of this many rows, each a group of its own.
     block_rows: int = 12000
     block_queries: int = 60000
 
+    def parts_for(self, rows: int, sampled: int) -> int:
+        return max(1, min(max(self.min_parts, round(rows / self.part_rows)), sampled // 8))
+
+    def sample_for(self, rows: int) -> int:
+        return min(self.sample_limit, max(self.sample_size, 16 * round(rows / self.part_rows)))
+
+
+#: The exact setting: every vector asks every part.
+EXACT = RouterParams(coverage=2.0, max_probes=1 << 30)
+
 
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, *keep: str) -> DataFrame:
     """(id, vec, kept columns) of rows whose vector has ``dim`` finite numbers, not all zero; a null id is dropped."""
@@ -82,22 +101,28 @@ def balanced_parts(u: np.ndarray, graph: np.ndarray, parts: int, rng: np.random.
     """
     n = len(u)
     cap = int(np.ceil(1.05 * n / parts))
+    u = u.astype(np.float32)
     seeds = u[rng.choice(n, parts, replace=False)]
+    strips = [slice(a, a + 4096) for a in range(0, n, 4096)]
     for _ in range(5):
-        near = (u @ seeds.T).argmax(axis=1)
+        near = np.concatenate([(u[s] @ seeds.T).argmax(axis=1) for s in strips])
         total = np.zeros_like(seeds)
         np.add.at(total, near, u)
         some = np.bincount(near, minlength=parts) > 0
         seeds[some] = _unit(total[some] + 1e-9)
-    score = u @ seeds.T
-    order = np.argsort(-score.max(axis=1))
+    # The few best seeds of each vector; one that finds them all full goes where there is most room.
+    m = min(16, parts)
+    first, sure = np.empty((n, m), dtype=np.int32), np.empty(n, dtype=np.float32)
+    for s in strips:
+        score = u[s] @ seeds.T
+        top = np.argpartition(-score, m - 1, axis=1)[:, :m]
+        by = np.take_along_axis(score, top, axis=1)
+        first[s], sure[s] = np.take_along_axis(top, np.argsort(-by, axis=1), axis=1), by.max(axis=1)
     part, room = np.empty(n, dtype=np.int64), np.full(parts, cap)
-    for i in order:
-        for p in np.argsort(-score[i]):
-            if room[p] > 0:
-                part[i] = p
-                room[p] -= 1
-                break
+    for i in np.argsort(-sure):
+        p = next((c for c in first[i] if room[c] > 0), None)
+        part[i] = room.argmax() if p is None else p
+        room[part[i]] -= 1
     adj: list[list[int]] = [list(g) for g in graph]
     for i, g in enumerate(graph):
         for j in g:
@@ -105,10 +130,10 @@ def balanced_parts(u: np.ndarray, graph: np.ndarray, parts: int, rng: np.random.
     for _ in range(sweeps):
         moved = 0
         for i in rng.permutation(n):
-            votes = np.bincount(part[adj[i]], minlength=parts)
-            best = int(votes.argmax())
-            if best != part[i] and votes[best] > votes[part[i]] and room[best] > 0:
-                room[part[i]] += 1
+            names, votes = np.unique(part[adj[i]], return_counts=True)
+            best, mine = int(names[votes.argmax()]), part[i]
+            if best != mine and votes.max() > votes[names == mine].sum() and room[best] > 0:
+                room[mine] += 1
                 room[best] -= 1
                 part[i] = best
                 moved += 1
@@ -125,17 +150,22 @@ class Router:
 
     @property
     def parts(self) -> int:
-        return self.w[2].shape[1] if self.w else 1
+        return self.w[2].shape[1]
 
     @classmethod
     def fit(cls, u: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int, p: RouterParams) -> Router:
         """Targets are the parts of a vector's neighbours and its own, so the probabilities say where to look, not only where it lies."""
         rng = np.random.default_rng(p.seed)
         n, d = u.shape
-        target = np.zeros((n, parts), dtype=np.float32)
-        for j in range(graph.shape[1]):
-            np.add.at(target, (np.arange(n), part[graph[:, j]]), 0.5 / graph.shape[1])
-        target[np.arange(n), part] += 0.5
+        of_near = part[graph]
+
+        def wanted(ix: np.ndarray) -> np.ndarray:
+            t = np.zeros((len(ix), parts), dtype=np.float32)
+            for j in range(of_near.shape[1]):
+                np.add.at(t, (np.arange(len(ix)), of_near[ix, j]), 0.5 / of_near.shape[1])
+            t[np.arange(len(ix)), part[ix]] += 0.5
+            return t
+
         w = [rng.normal(0, (2 / d) ** 0.5, (d, p.hidden)), np.zeros(p.hidden), rng.normal(0, (1 / p.hidden) ** 0.5, (p.hidden, parts)), np.zeros(parts)]
         w = [x.astype(np.float32) for x in w]
         m, v, t = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w], 0
@@ -145,7 +175,7 @@ class Router:
             for ix in np.array_split(rng.permutation(n), max(1, n // batch)):
                 h0 = x32[ix] @ w[0] + w[1]
                 h = np.maximum(h0, 0)
-                g = (_softmax(h @ w[2] + w[3]) - target[ix]) / len(ix)
+                g = (_softmax(h @ w[2] + w[3]) - wanted(ix)) / len(ix)
                 back = (g @ w[2].T) * (h0 > 0)
                 t += 1
                 for i, grad in enumerate((x32[ix].T @ back, back.sum(0), h.T @ g, g.sum(0))):
@@ -155,8 +185,6 @@ class Router:
         return cls(w)
 
     def probabilities(self, u: np.ndarray) -> np.ndarray:
-        if not self.w:
-            return np.ones((len(u), 1), dtype=np.float32)
         x = u.astype(np.float32) * np.float32(u.shape[1] ** 0.5)
         return _softmax(np.maximum(x @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3])
 
@@ -167,20 +195,15 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit_router(vectors: DataFrame, dim: int, rows: int, p: RouterParams) -> Router:
-    """Fit on at most ``sample_size`` vectors, drawn by hash over the whole table; one part needs no router."""
-    parts = max(1, round(rows / p.part_rows))
-    if parts == 1:
-        return Router([])
+    """Fit on at most ``sample_limit`` vectors, drawn by hash over the whole table; the same way at every size."""
+    size = p.sample_for(rows)
     # The share drawn is set a little high and cut back, so the result never exceeds the bound.
-    share = min(1.0, 1.1 * p.sample_size / rows)
-    drawn = vectors.where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").limit(p.sample_size).toArrow()
-    u = _unit(_vectors(drawn.column("vec"), dim))
-    parts = min(parts, max(1, len(u) // 8))
-    if parts == 1:
-        return Router([])
-    graph = _knn(u.astype(np.float32), min(p.graph_k, len(u) - 1))
-    rng = np.random.default_rng(p.seed)
-    return Router.fit(u, graph, balanced_parts(u, graph, parts, rng), parts, p)
+    share = min(1.0, 1.1 * size / max(1, rows))
+    drawn = vectors.where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").limit(size).toArrow()
+    u = _unit(_vectors(drawn.column("vec"), dim)) if drawn.num_rows else np.eye(1, dim)
+    parts = p.parts_for(rows, len(u))
+    graph = _knn(u.astype(np.float32), min(p.graph_k, len(u) - 1)) if len(u) > 1 else np.zeros((1, 1), dtype=np.int32)
+    return Router.fit(u, graph, balanced_parts(u, graph, parts, np.random.default_rng(p.seed)), parts, p)
 
 
 def distinct_vectors(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -188,14 +211,15 @@ def distinct_vectors(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
     The rank limit is applied within tasks before the shuffle, so a vector that very many rows repeat sends few rows.
     """
-    h = vectors.withColumn("h", F.xxhash64("vec"))
-    w = Window.partitionBy("h", "vec").orderBy("id")
+    # Two hashes, 128 bits together, name a class where only its rows are told apart; classes themselves group by the vector too.
+    h = vectors.withColumn("h", F.xxhash64("vec")).withColumn("h2", F.xxhash64("vec", F.lit(1)))
+    w = Window.partitionBy("h", "h2", "vec").orderBy("id")
     firsts = h.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k + 1)
     # At most k+1 ids a class, so the list is bounded.
-    classes = firsts.groupBy("h", "vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    classes = cut(classes.select(F.col("ids")[0].alias("id"), "h", "vec", "ids"))
-    copied = classes.where(F.size("ids") > 1).select("h", "vec", F.col("id").alias("rep"))
-    members = h.join(copied, ["h", "vec"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    classes = firsts.groupBy("h", "h2", "vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    classes = cut(classes.select(F.col("ids")[0].alias("id"), "h", "h2", "vec", "ids"))
+    copied = classes.where(F.size("ids") > 1).select("h", "h2", F.col("id").alias("rep"))
+    members = h.select("id", "h", "h2").join(copied, ["h", "h2"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     return members, classes
 
 
@@ -204,7 +228,8 @@ def nearest_classes(classes: DataFrame, dim: int, k: int, max_distance: float, p
     spark = classes.sparkSession
     router = fit_router(classes, dim, classes.count(), p)
     shared = spark.sparkContext.broadcast(router.w)
-    cover, probes = p.coverage, p.max_probes
+    cover = p.coverage
+    probes = min(router.parts, p.max_probes or max(12, int(np.ceil(router.parts ** 0.5))))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Router(shared.value)
@@ -213,7 +238,8 @@ def nearest_classes(classes: DataFrame, dim: int, k: int, max_distance: float, p
                 continue
             u = _unit(_vectors(b.column("vec"), dim))
             prob = r.probabilities(u)
-            top = np.argsort(-prob, axis=1)[:, :probes]
+            top = np.argpartition(-prob, probes - 1, axis=1)[:, :probes]
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(prob, top, axis=1), axis=1), axis=1)
             got = np.take_along_axis(prob, top, axis=1).cumsum(axis=1)
             ask = np.c_[np.ones(len(u), dtype=bool), got[:, :-1] < cover]
             row, rank = np.nonzero(ask)
@@ -262,7 +288,7 @@ def most_similar(vectors: DataFrame, dim: int, k: int, max_distance: float = 2.0
 
     ``vectors``: id (string, unique), vec (array of ``dim`` usable numbers; see :func:`usable_vectors`). Copies count as
     vectors of distance 0. Neighbours beyond ``max_distance`` are left out; vectors without any get empty lists. An empty input
-    gives no rows. Recall is below 1 where a neighbour lies in a part that was not asked; up to ``part_rows`` rows it is exact.
+    gives no rows. Recall is below 1 where a neighbour lies in a part that was not asked; ``params=EXACT`` asks all of them.
     """
     p = params or RouterParams()
     vectors = vectors.select("id", "vec")

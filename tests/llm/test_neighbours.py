@@ -18,13 +18,13 @@ def brute(ids, x, k, far):
     return out
 
 
-def test_exact_on_one_part_with_copies_and_ties(spark):
+def test_exact_setting_with_copies_and_ties(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(120, 6))
     x[50:75] = x[50]  # copies, more than k
     x[80] = 3 * x[81]  # same direction
     ids = [f"v{(i * 37) % 1000:04d}" for i in range(len(x))]
-    got = {r["id"]: r["indices"] for r in N.most_similar(frame(spark, x, ids), 6, 4).collect()}
+    got = {r["id"]: r["indices"] for r in N.most_similar(frame(spark, x, ids), 6, 4, params=N.EXACT).collect()}
     assert got == brute(ids, x, 4, 2.0)
 
 
@@ -39,6 +39,30 @@ def test_recall_with_learned_parts(spark):
     assert row["queries"] > 200 and row["recall"] >= 0.9
 
 
+def test_close_pairs_of_whole_tables_of_two_sizes(spark, sf):
+    """The registered query against all pairs by numpy, and recall over all distances, on 1,500 and 15,000 anchors."""
+    import duckdb
+
+    from cellweft.llm.queries import R, _anchors
+    from cellweft.plans.registry import Tables
+
+    for size in ("0.01", "0.1"):
+        rows = duckdb.sql(f"SELECT upper(trim(anchor_id)), features FROM '{sf(size)}/niche_anchors.parquet' QUALIFY row_number() OVER (PARTITION BY upper(trim(anchor_id)) ORDER BY rep_version DESC) = 1").fetchall()
+        ok = [r for r in rows if r[1] is not None and len(r[1]) == 48 and np.isfinite(r[1]).all() and any(r[1])]
+        ids, u = np.array([r[0] for r in ok], dtype=object), N._unit(np.array([r[1] for r in ok], dtype=float))
+        want = set()
+        for a in range(0, len(u), 2000):
+            d = np.maximum(0, np.round(1 - u[a:a + 2000] @ u.T, 12))
+            d[np.arange(len(d)), np.arange(a, a + len(d))] = 9
+            for i, j in zip(*np.nonzero(d <= 0.02)):
+                near = np.flatnonzero(d[i] <= 0.02)
+                if j in sorted(near, key=lambda x: (d[i, x], ids[x]))[:5]:
+                    want.add((min(ids[a + i], ids[j]), max(ids[a + i], ids[j])))
+        assert {tuple(r) for r in R.queries["p1_found"](spark, sf(size)).collect()} == want and want
+        v = _anchors(Tables(spark, sf(size)))
+        assert N.recall_at_k(N.most_similar(v, 48, 5), v, 48, 5, 2.0, every=10).first()["recall"] >= 0.9
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(3)
     u = N._unit(rng.normal(size=(1000, 8)))
