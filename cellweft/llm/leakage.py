@@ -47,73 +47,108 @@ def words_of(text: str | None) -> list[str]:
 _WORD_HASH: dict[str, int] = {}
 
 
-def _word_hash(w: str) -> int:
+def _word_hashes(words: list[str]) -> np.ndarray:
     import xxhash
 
-    h = _WORD_HASH.get(w)
-    if h is None:
-        if len(_WORD_HASH) > 500_000:
-            _WORD_HASH.clear()
-        h = _WORD_HASH[w] = xxhash.xxh64_intdigest(w)
-    return h
+    if len(_WORD_HASH) > 500_000:
+        _WORD_HASH.clear()
+    got = _WORD_HASH
+    for w in set(words).difference(got):
+        got[w] = xxhash.xxh64_intdigest(w)
+    return np.fromiter((got[w] for w in words), dtype=np.uint64, count=len(words))
+
+
+#: Powers of the base and of its inverse modulo 2**64, as many as texts needed so far.
+_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS[0]) < n:
+        m = 1 << max(10, (n - 1).bit_length())
+        with np.errstate(over="ignore"):
+            for k, base in enumerate((int(_BASE), pow(int(_BASE), -1, 1 << 64))):
+                steps = np.full(m, base, dtype=np.uint64)
+                steps[0] = 1
+                _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+class Rolling:
+    """Karp-Rabin hashes of a text's windows of any length: running sums modulo 2**64, of which two give the hash of a window."""
+
+    def __init__(self, words: list[str]) -> None:
+        x = _word_hashes(words)
+        up, self.down = _powers(len(x) + 1)
+        with np.errstate(over="ignore"):
+            self.sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x * up[:len(x)], dtype=np.uint64)])
+
+    def windows(self, n: int) -> np.ndarray:
+        """Hashes of the windows of ``n`` words, as int64, in order."""
+        k = len(self.sums) - n
+        if k <= 0:
+            return np.zeros(0, dtype=np.int64)
+        with np.errstate(over="ignore"):
+            h = (self.sums[n:] - self.sums[:k]) * self.down[:k]
+            h ^= h >> np.uint64(29)
+        return h.view(np.int64)
 
 
 def window_hashes(words: list[str], n: int) -> np.ndarray:
-    """Rolling polynomial hashes (modulo 2**64) of all windows of ``n`` words, as int64."""
-    if len(words) < n:
-        return np.zeros(0, dtype=np.int64)
-    x = np.fromiter((_word_hash(w) for w in words), dtype=np.uint64, count=len(words))
-    with np.errstate(over="ignore"):
-        h = np.zeros(len(x) - n + 1, dtype=np.uint64)
-        for i in range(n):
-            h = h * _BASE + x[i:i + len(h)]
-        h ^= h >> np.uint64(29)
-    return h.view(np.int64)
+    """Hashes of all windows of ``n`` words, as int64; equal windows have equal hashes in every text."""
+    return Rolling(words).windows(n) if len(words) >= n else np.zeros(0, dtype=np.int64)
 
 
 def tiles(a: list[str], b: list[str], least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (start in a, start in b, length), longest first, no word of either side in two tiles.
+    """Greedy string tiling by running Karp-Rabin: (start in a, start in b, length), longest first, no word of either side in two tiles.
 
-    Rounds find the longest common runs of unmarked words by hashed windows of ``least`` words; all of that length that do not
-    overlap are marked, until no run of ``least`` words is left. Equal lengths: the earlier start in a, then in b.
+    Each round finds the greatest length at which unmarked windows of both sides have a hash in common (by bisection, since a
+    common run of a length holds common runs of all smaller ones), compares the windows word by word, and marks those of that length
+    that do not overlap, from the start of a, each with the earliest place in b that is left. It ends when no run of ``least`` words is
+    left. No list of matching pairs is made: of a word that both sides repeat n times only the windows are held. Rounds are
+    at most the different lengths of tiles.
     """
-    hb: dict[tuple[str, ...], list[int]] = {}
-    for j in range(len(b) - least + 1):
-        hb.setdefault(tuple(b[j:j + least]), []).append(j)
-    seeds = [(i, j) for i in range(len(a) - least + 1) for j in hb.get(tuple(a[i:i + least]), ())]
-    # Maximal runs lie on diagonals of consecutive seeds.
-    runs: list[tuple[int, int, int]] = []
-    last: dict[int, list[int]] = {}
-    for i, j in seeds:
-        r = last.get(i - j)
-        if r and r[0] + r[2] - least + 1 == i:
-            r[2] += 1
-        else:
-            if r:
-                runs.append(tuple(r))  # type: ignore[arg-type]
-            last[i - j] = [i, j, least]
-    runs += [tuple(r) for r in last.values()]  # type: ignore[misc]
-    import heapq
-
-    heap = [(-n, i, j) for i, j, n in runs]
-    heapq.heapify(heap)
-    used_a, used_b, out = bytearray(len(a)), bytearray(len(b)), []
-    while heap:
-        n, i, j = heapq.heappop(heap)
-        n = -n
-        # What is left of the run once longer tiles are marked: its free stretches.
-        free = [k for k in range(n) if not used_a[i + k] and not used_b[j + k]]
-        if len(free) == n:
-            used_a[i:i + n] = b"\1" * n
-            used_b[j:j + n] = b"\1" * n
-            out.append((i, j, n))
-            continue
-        s = 0
-        for e in range(1, len(free) + 1):
-            if e == len(free) or free[e] != free[e - 1] + 1:
-                if e - s >= least:
-                    heapq.heappush(heap, (-(e - s), i + free[s], j + free[s]))
-                s = e
+    ha, hb = Rolling(a), Rolling(b)
+    used_a, used_b = np.zeros(len(a) + 1, dtype=np.int64), np.zeros(len(b) + 1, dtype=np.int64)
+    out: list[tuple[int, int, int]] = []
+
+    def free(h: Rolling, marks: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        w = h.windows(n)
+        at = np.flatnonzero(marks[n:] == marks[:len(marks) - n]) if len(w) else np.zeros(0, dtype=np.int64)
+        return at, w[at]
+
+    def common(n: int) -> bool:
+        return bool(np.isin(free(hb, used_b, n)[1], free(ha, used_a, n)[1]).any())
+
+    low = min(len(a), len(b))
+    while low >= least and common(least):
+        lo, hi = least, low
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if common(mid) else (lo, mid - 1)
+        n = low = lo
+        ia, va = free(ha, used_a, n)
+        ib, vb = free(hb, used_b, n)
+        both = np.isin(va, vb)
+        places: dict[int, list[int]] = {}
+        for j, v in zip(ib[::-1].tolist(), vb[::-1].tolist()):
+            places.setdefault(v, []).append(j)  # the earliest last
+        mark_a, mark_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
+        end, made = -1, 0
+        for i, v in zip(ia[both].tolist(), va[both].tolist()):
+            if i < end:
+                continue
+            left = places[v]
+            while left and mark_b[left[-1]:left[-1] + n].any():
+                left.pop()
+            if left and a[i:i + n] == b[left[-1]:left[-1] + n]:
+                j = left.pop()
+                mark_a[i:i + n], mark_b[j:j + n] = 1, 1
+                out.append((i, j, n))
+                end, made = i + n, made + 1
+        if not made:
+            low = n - 1  # hashes met by chance
+        used_a[1:] += np.cumsum(mark_a)
+        used_b[1:] += np.cumsum(mark_b)
     return out
 
 

@@ -27,6 +27,23 @@ def test_tiles_are_common_disjoint_and_found(a, b, n):
     assert max((k for *_, k in found), default=0) == longest
 
 
+def test_repeated_words_take_no_square():
+    import time
+
+    began = time.time()
+    assert L.tiles(["x"] * 100_000, ["x"] * 2_400, 12) == [(0, 0, 2_400)]
+    a = (["x"] * 50 + ["y"]) * 1000
+    found = L.tiles(a, a, 12)
+    assert sum(k for *_, k in found) == len(a) and time.time() - began < 10
+
+
+def test_window_hashes_agree_between_texts():
+    w = [f"w{i % 7}" for i in range(3000)]
+    h = L.window_hashes(w, 12)
+    assert len(h) == 2989 and (L.window_hashes(["other"] + w[700:712], 12)[1:] == h[700:701]).all()
+    assert len(set(h.tolist())) == 7 and len(L.window_hashes(w[:11], 12)) == 0
+
+
 def docs(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, item_id string")
 
