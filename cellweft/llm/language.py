@@ -27,9 +27,14 @@ _BLANK = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W_]+")
 #: Soft hyphen, zero-width characters, joiners, byte order mark.
 _GONE = dict.fromkeys(map(ord, "­​‌‍‎‏⁠﻿"))
-#: Matches longer than this count as this long, so a text can be cut into chunks that overlap by it.
-LONGEST = 32
+#: Chunks of a text are stepped through side by side. Each begins this many characters early; one whose match then reaches back to its
+#: beginning is stepped again from as far as any match can reach, so lengths do not depend on chunks.
+LEAD = 32
 CHUNK = 480
+#: Characters parsed at a time; longer texts are parsed in parts that end between words.
+PART = 200_000
+#: Words times texts whose shortest paths are searched side by side.
+CELLS = 250_000
 
 
 #: Of the characters of the basic plane: letters, and letters or digits. Others (pictographs and the like) count as neither.
@@ -55,7 +60,7 @@ class LanguageParams:
     change: float = 1.6
     #: Phrases a letter costs in no language: a stretch dearer than this in every language has none.
     none: float = 0.4
-    #: Least confidence times words of a passage; weaker ones (a few invented words, say) are in no language.
+    #: Least confidence times words of a passage; weaker ones (a few invented words, say) are in no language. 0 keeps all.
     min_evidence: float = 3.0
     #: Passages of a sample under this share of their language's median confidence teach nothing.
     clean_share: float = 0.6
@@ -84,7 +89,7 @@ class Automaton:
     longest suffix that continues with c. Symbol 0 stands for characters that no language's sample has.
     """
 
-    def __init__(self, codes: np.ndarray, size: int) -> None:
+    def __init__(self, codes: np.ndarray) -> None:
         nxt: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in codes.tolist():
@@ -123,15 +128,20 @@ class Automaton:
                         nxt[p][c] = clone
                         p = link[p]
             last = cur
-        n = len(nxt)
-        self.to, self.cap = np.zeros((n, size), dtype=np.int32), np.full((n, size), -1, dtype=np.int16)
+        self.nxt, self.link, self.length = nxt, link, length
+
+    def fill(self, to: np.ndarray, cap: np.ndarray) -> int:
+        """Write the tables into the first rows of ``to`` and ``cap``; gives how many."""
+        nxt, link, length, n = self.nxt, self.link, self.length, len(self.nxt)
+        to[0], cap[0] = 0, -1
         for s in np.argsort(np.array(length), kind="stable").tolist():  # a link is shorter than its state, so it is complete already
             if s:
-                self.to[s], self.cap[s] = self.to[link[s]], self.cap[link[s]]
+                to[s], cap[s] = to[link[s]], cap[link[s]]
             if nxt[s]:
                 c = np.fromiter(nxt[s].keys(), dtype=np.int64)
-                self.to[s, c] = np.fromiter(nxt[s].values(), dtype=np.int32)
-                self.cap[s, c] = min(length[s], 30000)
+                to[s, c] = np.fromiter(nxt[s].values(), dtype=np.int32)
+                cap[s, c] = min(length[s], 30000)
+        return n
 
 
 class Languages:
@@ -143,12 +153,17 @@ class Languages:
         self.codes = {c: i + 2 for i, c in enumerate(letters)}  # 0 breaks, 1 is a space
         self.table = self._lookup()
         size = len(letters) + 2
-        at, to, cap, self.start = 0, [], [], []
+        self.longest = max((len(t) for ts in samples.values() for t in ts), default=0)
+        # A text of n letters has at most 2 n states. Pages that are not filled take no memory.
+        most = sum(2 * len(t) + 2 for ts in samples.values() for t in ts) + 2 * len(self.names)
+        to, cap, at, self.start = np.empty((most, size), dtype=np.int32), np.empty((most, size), dtype=np.int16), 0, []
         for n in self.names:
-            a = Automaton(np.concatenate([np.r_[0, self.coded(t)] for t in samples[n]] or [np.zeros(1, dtype=np.int64)]), size)
-            to.append(a.to + at), cap.append(a.cap), self.start.append(at)
-            at += len(a.to)
-        self.to, self.cap = np.concatenate(to).reshape(-1) * size, np.concatenate(cap).reshape(-1)
+            a = Automaton(np.concatenate([np.r_[0, self.coded(t)] for t in samples[n]] or [np.zeros(1, dtype=np.int64)]))
+            k = a.fill(to[at:], cap[at:])
+            to[at:at + k] = (to[at:at + k] + at) * size
+            self.start.append(at)
+            at += k
+        self.to, self.cap = to[:at].reshape(-1), cap[:at].reshape(-1)
         self.size, self.start = size, np.array(self.start) * size
 
     def _lookup(self) -> np.ndarray:
@@ -162,52 +177,79 @@ class Languages:
         return self.table[_points(text)]
 
     def matches(self, texts: list[np.ndarray]) -> list[np.ndarray]:
-        """Per text a (languages x characters) array of match lengths, at most LONGEST.
-
-        Texts are cut into chunks that begin LONGEST characters early, so all chunks step in lock-step at equal length.
-        """
-        k, pieces = len(self.names), []
-        for i, t in enumerate(texts):
-            for s in range(0, len(t), CHUNK):
-                pieces.append((i, s, max(0, s - LONGEST), min(len(t), s + CHUNK)))
-        out = [np.zeros((k, len(t)), dtype=np.int8) for t in texts]
-        pieces.sort(key=lambda p: p[2] - p[3])
-        for g in range(0, len(pieces), 2048):
-            part = pieces[g:g + 2048]
-            steps = part[0][3] - part[0][2]
-            m = np.zeros((steps, len(part)), dtype=np.int64)
-            for x, (i, _, a, e) in enumerate(part):
-                m[:e - a, x] = texts[i][a:e]
-            size = np.array([e - a for _, _, a, e in part])
-            state = np.repeat(self.start[:, None], len(part), axis=1)
-            length = np.zeros((k, len(part)), dtype=np.int16)
-            got = np.zeros((steps, k, len(part)), dtype=np.int8)
-            for s in range(steps):
-                n = int(np.searchsorted(-size, -s, side="left"))  # pieces longer than s come first
-                at = state[:, :n] + m[s, :n]
-                length[:, :n] = np.minimum(length[:, :n], self.cap[at]) + 1
-                state[:, :n] = self.to[at]
-                got[s, :, :n] = np.minimum(length[:, :n], LONGEST)
-            for x, (i, s, a, e) in enumerate(part):
-                out[i][:, s:e] = got[s - a:e - a, :, x].T
+        """Per text a (languages x characters) array of match lengths."""
+        k = len(self.names)
+        out = [np.zeros((k, len(t)), dtype=np.int16) for t in texts]
+        pieces = [(i, s, max(0, s - LEAD), min(len(t), s + CHUNK)) for i, t in enumerate(texts) for s in range(0, len(t), CHUNK)]
+        while pieces:
+            pieces.sort(key=lambda p: p[2] - p[3])
+            again = []
+            for g in range(0, len(pieces), 2048):
+                part = pieces[g:g + 2048]
+                got = self._step(texts, part)
+                for x, (i, s, a, e) in enumerate(part):
+                    if a and s - a < self.longest and got[s - a, :, x].max() > s - a:
+                        again.append((i, s, max(0, s - self.longest), e))
+                    else:
+                        out[i][:, s:e] = got[s - a:e - a, :, x].T
+            pieces = again
         return out
 
+    def _step(self, texts: list[np.ndarray], part: list[tuple[int, int, int, int]]) -> np.ndarray:
+        """(steps x languages x pieces) match lengths of pieces in lock-step, longest first."""
+        k, steps = len(self.names), part[0][3] - part[0][2]
+        m = np.zeros((steps, len(part)), dtype=np.int32)
+        for x, (i, _, a, e) in enumerate(part):
+            m[:e - a, x] = texts[i][a:e]
+        size = np.array([e - a for _, _, a, e in part])
+        state = np.repeat(self.start[:, None], len(part), axis=1)
+        length = np.zeros((k, len(part)), dtype=np.int16)
+        got = np.zeros((steps, k, len(part)), dtype=np.int16)
+        for s in range(steps):
+            n = int(np.searchsorted(-size, -s, side="left"))  # pieces longer than s come first
+            at = state[:, :n] + m[s, :n]
+            length[:, :n] = np.minimum(length[:, :n], self.cap[at]) + 1
+            state[:, :n] = self.to[at]
+            got[s, :, :n] = length[:, :n]
+        return got
+
+    def _parts(self, text: str) -> list[tuple[int, int]]:
+        """Spans of at most about PART characters that end between words."""
+        out, a = [], 0
+        while len(text) - a > PART:
+            e = a + PART
+            while e < len(text) and (text[e].isalnum() and text[e - 1].isalnum()):
+                e += 1
+            out.append((a, e))
+            a = e
+        return [*out, (a, len(text))]
+
     def phrases(self, texts: list[str]) -> list[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]:
         """Per text: word spans, (words x languages) phrases needed, and letters per word. A word of digits needs none."""
-        coded = [self.coded(t) for t in texts]
-        res = []
-        for t, c, m in zip(texts, coded, self.matches(coded)):
-            spans = words(t)
-            if not spans:
-                res.append((spans, np.zeros((0, len(self.names))), np.zeros(0)))
-                continue
-            letter = _ALPHA[_points(t)]
-            cost = np.where(letter[None, :], 1.0 / np.maximum(m, 1), 0.0)
-            run = np.concatenate([np.zeros((len(self.names), 1)), cost.cumsum(axis=1)], axis=1)
-            n = np.concatenate([[0], letter.cumsum()])
-            a, e = np.array([s[0] for s in spans]), np.array([s[1] for s in spans])
-            res.append((spans, (run[:, e] - run[:, a]).T, (n[e] - n[a]).astype(float)))
-        return res
+        todo = [(i, a, e) for i, t in enumerate(texts) for a, e in self._parts(t)]
+        res: list[list] = [[[], [np.zeros((0, len(self.names)))], [np.zeros(0)]] for _ in texts]
+        while todo:
+            batch, size = [], 0
+            while todo and (not batch or size + todo[0][2] - todo[0][1] <= 2 * PART):
+                batch.append(todo.pop(0))
+                size += batch[-1][2] - batch[-1][1]
+            # Parts begin as much earlier as a match can reach back.
+            early = [max(0, a - self.longest) for _, a, _ in batch]
+            coded = [self.coded(texts[i][b:e]) for (i, _, e), b in zip(batch, early)]
+            for (i, a, e), b, m in zip(batch, early, self.matches(coded)):
+                t = texts[i][a:e]
+                spans = words(t)
+                if not spans:
+                    continue
+                letter = _ALPHA[_points(t)]
+                cost = np.where(letter[None, :], 1.0 / np.maximum(m[:, a - b:], 1), 0.0)
+                run = np.concatenate([np.zeros((len(self.names), 1)), cost.cumsum(axis=1)], axis=1)
+                n = np.concatenate([[0], letter.cumsum()])
+                x, y = np.array([s[0] for s in spans]), np.array([s[1] for s in spans])
+                res[i][0] += [(p + a, q + a) for p, q in spans]
+                res[i][1].append((run[:, y] - run[:, x]).T)
+                res[i][2].append((n[y] - n[x]).astype(float))
+        return [(s, np.concatenate(c), np.concatenate(n)) for s, c, n in res]
 
 
 Passage = tuple[int, int, int, float]
@@ -222,8 +264,11 @@ def passages(parsed: list[tuple[np.ndarray, np.ndarray]], p: LanguageParams) ->
     order = sorted(range(len(parsed)), key=lambda i: -len(parsed[i][1]))
     order = [i for i in order if len(parsed[i][1])]
     out: list[list[Passage]] = [[] for _ in parsed]
-    for g in range(0, len(order), 512):
-        group = order[g:g + 512]
+    g = 0
+    while g < len(order):
+        # As many texts as the longest of them leaves room for; one longer than that goes alone.
+        group = order[g:g + max(1, min(512, CELLS // len(parsed[order[g]][1])))]
+        g += len(group)
         size = np.array([len(parsed[i][1]) for i in group])
         steps, k = int(size[0]), parsed[group[0]][0].shape[1]
         cost = np.zeros((steps, len(group), k + 1))

@@ -22,12 +22,42 @@ def test_match_lengths_equal_brute_force(monkeypatch):
     samples = {"x": [make(60, "abc "), make(40, "abd ")], "y": [make(80, "bcde ")]}
     lang = L.Languages({k: list(v) for k, v in samples.items()})
     monkeypatch.setattr(L, "CHUNK", 37)
-    for n in (1, 5, 36, 37, 38, 150):
-        t = make(n, "abcdez ")
+    monkeypatch.setattr(L, "LEAD", 5)
+    for n in (1, 5, 36, 37, 38, 150, 260):
+        # The longest one quotes the samples, so matches run over chunks.
+        t = make(n, "abcdez ") if n < 260 else make(30, "abcdez ") + samples["x"][0] + samples["y"][0] + samples["x"][1] + make(50, "ab")
+        n = len(t)
         m = lang.matches([lang.coded(t)])[0]
         for k, name in enumerate(lang.names):
             for i in range(n):
-                assert m[k, i] == min(longest(t, samples[name], i), L.LONGEST), (name, i, t)
+                assert m[k, i] == longest(t, samples[name], i), (name, i, t)
+
+
+def test_parts_and_groups_do_not_show(monkeypatch):
+    rng = random.Random(2)
+    word = lambda a: "".join(rng.choice(a) for _ in range(rng.randint(1, 9)))
+    samples = {k: [" ".join(word(a) for _ in range(60)) for _ in range(4)] for k, a in (("x", "abcde"), ("y", "cdefg"))}
+    lang = L.Languages({k: list(v) for k, v in samples.items()})
+    texts = ["", "abc", *(" ".join(word("abcdefg7") for _ in range(n)) + samples["x"][1][:90] for n in (3, 300, 40, 1000))]
+    whole = lang.phrases(texts)
+    found = L.passages([w[1:] for w in whole], P)
+    monkeypatch.setattr(L, "PART", 130)
+    monkeypatch.setattr(L, "CELLS", 500)
+    parts = lang.phrases(texts)
+    for (s, c, n), (s2, c2, n2) in zip(whole, parts):
+        assert s == s2 and np.allclose(c, c2) and (n == n2).all()
+    assert [[x[:3] for x in f] for f in L.passages([w[1:] for w in parts], P)] == [[x[:3] for x in f] for f in found]
+
+
+def test_a_long_text_beside_short_ones_takes_little_memory():
+    import tracemalloc
+
+    parsed = [(np.ones((40_000, 7)), np.ones(40_000))] + [(np.ones((3, 7)), np.ones(3))] * 511
+    tracemalloc.start()
+    L.passages(parsed, P)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
 
 
 @pytest.fixture(scope="module")
