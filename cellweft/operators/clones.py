@@ -11,6 +11,7 @@ from cellweft.functions.scalars import joint_alleles, locus
 from cellweft.operators.graph import component_sizes, weak_components
 from cellweft.operators.lineage import LOCI
 from cellweft.operators.pairs import basket_pairs
+from cellweft.session import cut
 
 
 # --- signatures ------------------------------------------------------------------------------------------------------
@@ -147,8 +148,8 @@ def allele_frequencies(joint: DataFrame, col: str = "joint_clone_id") -> DataFra
     return a.crossJoin(F.broadcast(n)).select("allele", locus("allele").alias("locus"), "n_cells", (F.col("n_cells") / F.col("_n")).alias("fraction"))  # one row
 
 
-def merged_joint_ids(joint: DataFrame, frequencies: DataFrame, col: str = "joint_clone_id", most: int = 6) -> DataFrame:
-    """(joint_id, component): joint ids that share a rare allele and disagree at no shared locus are one clone.
+def merged_joint_ids(joint: DataFrame, col: str = "joint_clone_id", most: int = 6) -> DataFrame:
+    """(joint_id, component): joint ids that share an allele of few ids and disagree at no shared locus are one clone.
 
     Distinct ids only, so a clone of very many cells is one row. An allele of ``most`` or more ids links nothing.
     """
@@ -162,6 +163,71 @@ def merged_joint_ids(joint: DataFrame, frequencies: DataFrame, col: str = "joint
     return weak_components(ids.select("id"), e).select(F.col("id").alias("joint_id"), "component")
 
 
+def allele_classes(frequencies: DataFrame, known: DataFrame, rare: float = 0.001, de_novo: str = "empirical", low: float = 0.005) -> DataFrame:
+    """Adds allele_class and valid (J4). ``frequencies``: allele, locus, n_cells, fraction; ``known``: allele, normalized_count, distinct.
+
+    An allele without a locus is a mismatch; a known one is rare under ``rare``, else common; an unknown one is de novo, valid if ``de_novo``
+    is ``all``, or ``empirical`` and its fraction is under ``low``; not with ``none``.
+    """
+    j = frequencies.join(known.select("allele", F.col("normalized_count").alias("_k"), F.lit(True).alias("_known")), "allele", "left")
+    cls = F.when(F.col("locus").isNull(), "locus_mismatch").when(F.col("_known") & (F.col("_k") < rare), "reference_mapped_rare").when(F.col("_known"), "reference_mapped_common").otherwise("unmapped_de_novo_candidate")
+    fresh = {"all": F.lit(True), "empirical": F.col("fraction") < low, "none": F.lit(False)}[de_novo]
+    j = j.withColumn("allele_class", cls)
+    return j.withColumn("valid", (F.col("allele_class") == "reference_mapped_rare") | ((F.col("allele_class") == "unmapped_de_novo_candidate") & fresh)).drop("_k", "_known")
+
+
+def joint_clones(alleles: DataFrame, prob_cutoff: float = 0.1, sample_cutoff: float = 2, most: int = 6, loci: Sequence[str] = LOCI) -> tuple[DataFrame, DataFrame]:
+    """(cells: cell_key, tmp_id, joint_clone_id, joint_prob, joint_allele_num, bc_consistency), (clones: joint_clone_id, bc_num, ...).
+
+    ``alleles``: cell_key, locus, allele, normalized_count, sample_count; several of a cell and locus: the smallest by text counts. Alleles at or over
+    a cutoff are left out. A cell's tmp id joins its alleles by locus, a missing one as ``nan``. An allele of ``most`` or more tmp ids
+    is promoted to the cutoff. Tmp ids that share an allele under the cutoff, of 2 to ``most`` - 1 ids, and disagree at no locus
+    that both have are one clone; its id joins its distinct alleles by locus, in the order of the first cell that has them.
+    joint_prob multiplies the alleles' least counts, promoted ones at the cutoff. bc_consistency is the share of pairs of the clone's tmp
+    ids that do not disagree, counted from compact counts of their alleles, never pair by pair.
+    """
+    kept = alleles.where((F.col("normalized_count") < prob_cutoff) & (F.col("sample_count") < sample_cutoff) & F.col("locus").isin(*loci))
+    one = kept.groupBy("cell_key", "locus").agg(F.min("allele").alias("allele"))
+    wide = cut(one.groupBy("cell_key").agg(*[F.max(F.when(F.col("locus") == x, F.col("allele"))).alias(x) for x in loci])
+               .withColumn("tmp_id", F.concat_ws("@", *[F.coalesce(x, F.lit("nan")) for x in loci])))
+    ids = wide.groupBy("tmp_id", *loci).agg(F.min("cell_key").alias("first"))
+    cells_of = one.join(kept, ["cell_key", "locus", "allele"]).groupBy("allele").agg(F.min("normalized_count").alias("least"))
+    long = ids.select("tmp_id", "first", F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col(x).alias("allele")) for i, x in enumerate(loci)])).alias("e")).select("tmp_id", "first", "e.*").where("allele IS NOT NULL")
+    norm = cut(long.groupBy("allele").agg(F.count("*").alias("k")).join(cells_of, "allele").withColumn("prob", F.when((F.col("k") >= most) & (F.col("least") < prob_cutoff), prob_cutoff).otherwise(F.col("least"))))
+    # Under ``most`` ids an allele, so pairs of one allele are few.
+    few = long.join(norm.where((F.col("prob") < prob_cutoff) & (F.col("k") >= 2) & (F.col("k") < most)).select("allele"), "allele").select("allele", "tmp_id").join(ids, "tmp_id")
+    a, b = few.select("allele", F.col("tmp_id").alias("src"), *[F.col(x).alias(f"a_{x}") for x in loci]), few.select("allele", F.col("tmp_id").alias("dst"), *[F.col(x).alias(f"b_{x}") for x in loci])
+    agree = F.lit(True)
+    for x in loci:
+        agree = agree & F.coalesce(F.col(f"a_{x}") == F.col(f"b_{x}"), F.lit(True))
+    edges = a.join(b, "allele").where("src < dst").where(agree).select("src", "dst").distinct()
+    comp = cut(weak_components(ids.select(F.col("tmp_id").alias("id")), edges).withColumnRenamed("id", "tmp_id"))
+    named = long.join(comp, "tmp_id").groupBy("component", "at", "allele").agg(F.min("first").alias("first"))
+    names = named.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("at", "first", "allele"))).alias("l"))
+    names = names.select("component", F.array_join(F.transform("l", lambda x: x["allele"]), "@").alias("joint_clone_id"), F.size("l").alias("joint_allele_num"))
+    # Pairs that agree: by the loci both have, tmp ids with the same alleles there.
+    n = len(loci)
+    mask = sum((F.col(x).isNull().cast("int") * (1 << i) for i, x in enumerate(loci)), F.lit(0))
+    sets = [F.struct(F.lit(m).alias("both"), F.concat_ws("|", *[F.coalesce(F.col(x), F.lit("")) for i, x in enumerate(loci) if m >> i & 1]).alias("values")) for m in range(1 << n)]
+    held = ids.join(comp, "tmp_id").select("component", mask.alias("gone"), F.explode(F.array(*sets)).alias("s")).select("component", "gone", "s.*").where(F.col("gone").bitwiseAND(F.col("both")) == 0)
+    c = held.groupBy("component", "both", "values", "gone").agg(F.count("*").alias("c"))
+    two = c.join(c.select("component", "both", "values", F.col("gone").alias("gone2"), F.col("c").alias("c2")), ["component", "both", "values"])
+    exact = two.where(F.col("both") == F.lit((1 << n) - 1).bitwiseXOR(F.col("gone").bitwiseOR(F.col("gone2"))))
+    same = exact.groupBy("component").agg(F.sum(F.col("c") * F.col("c2")).alias("ordered"))
+    size = comp.groupBy("component").agg(F.count("*").alias("bc_num"))
+    pairs = F.col("bc_num") * (F.col("bc_num") - 1) / 2
+    clones = size.join(names, "component").join(same, "component").select(
+        "component", "joint_clone_id", "bc_num", "joint_allele_num", F.when(F.col("bc_num") <= 1, 1.0).otherwise((F.col("ordered") - F.col("bc_num")) / 2 / pairs).alias("bc_consistency"))
+    clones = cut(clones)
+    prob = F.lit(1.0)
+    cells = wide
+    for x in loci:
+        cells = cells.join(norm.select(F.col("allele").alias(x), F.col("prob").alias(f"p_{x}")), x, "left")
+        prob = prob * F.coalesce(F.col(f"p_{x}"), F.lit(1.0))
+    cells = cells.join(comp, "tmp_id").join(clones, "component").select("cell_key", "tmp_id", "joint_clone_id", prob.alias("joint_prob"), "joint_allele_num", "bc_consistency")
+    return cells, clones.drop("component")
+
+
 def clone_qc(assigned: DataFrame, giant: float = 0.05, one_section: float = 0.95, large: int = 100) -> DataFrame:
     """One row per joint clone: cells, share, sections, largest section share, loci, flags and status.
 
@@ -221,3 +287,25 @@ def class_floor(c: Column, by_class: Column, floors: dict[str, float]) -> Column
     for k, v in floors.items():
         f = F.when(by_class == k, v).otherwise(f)
     return F.greatest(c, f)
+
+
+def membership_thresholds(null: DataFrame, group: str, score: str, floors: dict[str, float], by_class: str) -> DataFrame:
+    """(group, class, q95, q99, mu, sigma, threshold): a normal null fitted to the 95 and 99 % quantiles of null scores, raised to class floors.
+
+    The threshold is the fitted 99 % point: mu + 2.326 sigma, with sigma = (q99 - q95) / (2.326 - 1.645).
+    """
+    q = null.groupBy(group, by_class).agg(F.percentile(score, F.array(F.lit(0.95), F.lit(0.99))).alias("q")).select(group, by_class, F.col("q")[0].alias("q95"), F.col("q")[1].alias("q99"))
+    sigma = (F.col("q99") - F.col("q95")) / (2.326 - 1.645)
+    q = q.withColumn("sigma", sigma).withColumn("mu", F.col("q95") - 1.645 * F.col("sigma"))
+    return q.withColumn("threshold", class_floor(F.col("mu") + 2.326 * F.col("sigma"), F.col(by_class), floors))
+
+
+def loss_reasons(scores: DataFrame, decided_: DataFrame, signature: str = "signature") -> DataFrame:
+    """Per signature: cells that overlap it, cells assigned to it, lost to a better one, under the threshold, ambiguous, and the conversion rate."""
+    j = scores.select("cell_key", signature).distinct().join(decided_.select("cell_key", "best", "status"), "cell_key", "left")
+    mine = F.col("best") == F.col(signature)
+    hit = F.coalesce(mine & F.col("status").startswith("assigned"), F.lit(False))
+    g = j.groupBy(signature).agg(
+        F.count("*").alias("overlap"), F.count_if(hit).alias("assigned"), F.count_if(~F.coalesce(mine, F.lit(False))).alias("better_elsewhere"),
+        F.count_if(mine & (F.col("status") == "unassigned")).alias("under_threshold"), F.count_if(mine & (F.col("status") == "ambiguous")).alias("ambiguous"))
+    return g.withColumn("conversion", F.col("assigned") / F.col("overlap"))

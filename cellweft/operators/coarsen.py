@@ -26,12 +26,12 @@ def seeded_centroids(points: DataFrame, key: str, vec: str, k: int, seed: int =
     return p.withColumn("state", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("h", key)) - 1).select("state", F.col(vec).alias("centroid"))  # k rows
 
 
-def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, vec: str) -> DataFrame:
-    """(key, state, distance): nearest centroid, ties to the smaller state (C3, C21). ``centroids`` number k, a parameter of the run."""
+def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, vec: str, *keep: str) -> DataFrame:
+    """(key, kept columns, state, distance): nearest centroid, ties to the smaller state (C3, C21). ``centroids`` number k, a parameter of the run."""
     c = centroids.agg(F.sort_array(F.collect_list(F.struct("state", "centroid"))).alias("_c"))  # k entries
     d = F.transform("_c", lambda c: F.struct(F.sqrt(F.aggregate(F.zip_with(c["centroid"], F.col(vec), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)).alias("distance"), c["state"].alias("state")))
-    best = points.where(F.col(vec).isNotNull()).crossJoin(F.broadcast(c)).select(key, F.array_min(d).alias("b"))  # one row of k centroids
-    return best.select(key, F.col("b.state").alias("state"), F.col("b.distance").alias("distance"))
+    best = points.where(F.col(vec).isNotNull()).crossJoin(F.broadcast(c)).select(key, *keep, F.array_min(d).alias("b"))  # one row of k centroids
+    return best.select(key, *keep, F.col("b.state").alias("state"), F.col("b.distance").alias("distance"))
 
 
 def kmeans(points: DataFrame, key: str, vec: str, k: int, rounds: int = 10, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -44,9 +44,9 @@ def kmeans(points: DataFrame, key: str, vec: str, k: int, rounds: int = 10, seed
     now = [(r["state"], list(map(float, r["centroid"]))) for r in seeded_centroids(points, key, vec, k, seed).collect()]
     for _ in range(rounds):
         c = spark.createDataFrame(now, dim_schema)
-        a = nearest_centroid(points, c, key, vec).select(key, "state")
+        a = nearest_centroid(points, c, key, vec, vec)
         dim = len(now[0][1]) if now else 0
-        means = points.join(a, key).groupBy("state").agg(F.array(*[F.avg(F.col(vec)[i]) for i in range(dim)]).alias("centroid")).collect()
+        means = a.groupBy("state").agg(F.array(*[F.avg(F.col(vec)[i]) for i in range(dim)]).alias("centroid")).collect()
         new = {r["state"]: list(r["centroid"]) for r in means}
         moved = [(s, new.get(s, c)) for s, c in now]
         if all(np.allclose(a[1], b[1], atol=1e-9) for a, b in zip(moved, now)):
@@ -56,6 +56,29 @@ def kmeans(points: DataFrame, key: str, vec: str, k: int, rounds: int = 10, seed
     return nearest_centroid(points, c, key, vec), c
 
 
+def layered_states(points: DataFrame, layer: str, key: str, vec: str, k: int, seed: int = 1) -> DataFrame:
+    """(layer, key, state, distance): each layer's points by ``k`` seeded centroids of that layer, ids shifted by k per layer before (C11).
+
+    Layers (time points) are few; their k centroids each are found by a rank limited within tasks and joined as one row a layer.
+    """
+    h = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    ok = points.where(F.col(vec).isNotNull() & F.col(layer).isNotNull())
+    r = ok.select(layer, key, vec, h.alias("_h")).withColumn("_r", F.row_number().over(Window.partitionBy(layer).orderBy("_h", key))).where(F.col("_r") <= k)
+    c = r.groupBy(layer).agg(F.sort_array(F.collect_list(F.struct((F.col("_r") - 1).alias("state"), F.col(vec).alias("centroid")))).alias("_c"))
+    c = c.withColumn("_shift", (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(layer)) - 1) * k)  # a row a layer
+    d = F.transform("_c", lambda c: F.struct(F.sqrt(F.aggregate(F.zip_with(c["centroid"], F.col(vec), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)).alias("distance"), c["state"].alias("state")))
+    b = ok.join(F.broadcast(c), layer).select(layer, key, "_shift", F.array_min(d).alias("b"))
+    return b.select(layer, key, (F.col("b.state") + F.col("_shift")).alias("state"), F.col("b.distance").alias("distance"))
+
+
+def chosen_count(candidates: DataFrame, default: int, least_share: float = 0.001) -> DataFrame:
+    """Candidates (k, n_states, min_share) with ``passes`` and ``selected``: no empty state and no share under ``least_share``; the default if it
+    passes, else the passing k nearest to it, ties to the smaller (P2, C15)."""
+    ok = (F.col("n_states") == F.col("k")) & (F.col("min_share") >= least_share)
+    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("passes"), F.abs(F.col("k") - default), "k")  # a row a candidate
+    return candidates.withColumn("passes", ok).withColumn("selected", (F.row_number().over(w) == 1) & F.col("passes"))
+
+
 def state_summary(df: DataFrame, state: str, labels: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
     """Per state: size, share, centroid, population variance of position, and per label its dominant value and purity."""
     total = df.agg(F.count("*").alias("_t"))
@@ -122,8 +145,10 @@ def coarse_matrix(edges: DataFrame, limit: int = 2000) -> tuple[list[str], np.nd
         raise ValueError(f"a coarse chain may have at most {limit} states")
     at = {s: i for i, s in enumerate(n)}
     m = np.zeros((len(n), len(n)))
-    for r in edges.select("src", "dst", "p").toLocalIterator():
-        m[at[r["src"]], at[r["dst"]]] += r["p"]
+    # Summed on the executors first, so at most limit * limit entries come, as one Arrow table.
+    e = edges.groupBy("src", "dst").agg(F.sum("p").alias("p")).toArrow()
+    rows, cols = ([at[x] for x in e.column(c).to_pylist()] for c in ("src", "dst"))
+    np.add.at(m, (rows, cols), e.column("p").to_numpy())
     return n, m
 
 

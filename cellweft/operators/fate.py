@@ -118,6 +118,24 @@ def compared(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.agg(F.count("*").alias("n"), F.avg((F.col("sa") == F.col("sb")).cast("double")).alias("agreement"), F.avg(F.col("hb") - F.col("ha")).alias("entropy_change"), F.avg(F.col("tb") - F.col("ta")).alias("top1_change"))
 
 
+def compared_states(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(state, mass_a, mass_b, change, pearson): endpoint masses of two fate tables and the correlation of their probabilities over nodes.
+
+    A probability that only one table has counts 0 in the other.
+    """
+    j = a.select("id", "state", F.col("prob").alias("pa")).join(b.select("id", "state", F.col("prob").alias("pb")), ["id", "state"], "full").na.fill(0.0, ["pa", "pb"])
+    g = j.groupBy("state").agg(F.sum("pa").alias("mass_a"), F.sum("pb").alias("mass_b"), F.corr("pa", "pb").alias("_c"))
+    return g.select("state", "mass_a", "mass_b", (F.col("mass_b") - F.col("mass_a")).alias("change"), F.coalesce(F.nanvl("_c", F.lit(0.0)), F.lit(0.0)).alias("pearson"))
+
+
+def divergence(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, js): Jensen-Shannon divergence of the two tables' probabilities of each node."""
+    j = a.select("id", "state", F.col("prob").alias("pa")).join(b.select("id", "state", F.col("prob").alias("pb")), ["id", "state"], "full").na.fill(0.0, ["pa", "pb"])
+    m = (F.col("pa") + F.col("pb")) / 2
+    half = lambda p: F.sum(F.when(F.col(p) > 0, F.col(p) * F.ln(F.col(p) / m)).otherwise(0.0))
+    return j.groupBy("id").agg((0.5 * half("pa") + 0.5 * half("pb")).alias("js"))
+
+
 def annotation(nodes: DataFrame, fate: DataFrame, labels: Sequence[str]) -> DataFrame:
     """(label_kind, label, state, share): composition of labels' mean fate."""
     long = nodes.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("label_kind"), F.col(c).cast("string").alias("label")) for c in labels])).alias("e")).select("id", "e.*").where("label IS NOT NULL")

@@ -76,6 +76,13 @@ def fallback(df: DataFrame, columns: Sequence[str], floor: float = 1e-6) -> Data
     return _scaled(df, columns, df, stats, one)
 
 
+def balanced_blocks(df: DataFrame, blocks: dict[str, Sequence[str]]) -> DataFrame:
+    """z-scores of all blocks' columns, each divided by the root of its block's width, so that blocks weigh alike."""
+    cols = [c for b in blocks.values() for c in b]
+    width = {c: len(b) for b in blocks.values() for c in b}
+    return standard(df, cols).select(*[(F.col(c) / float(np.sqrt(width[c]))).alias(c) if c in width else F.col(c) for c in df.columns])
+
+
 def moments(df: DataFrame, vector: str, dim: int) -> tuple[float, np.ndarray, np.ndarray]:
     """(rows, sums, matrix of products) of an array column: one small matrix per task is summed, no row leaves its task."""
 

@@ -21,19 +21,24 @@ def adjacent_times(df: DataFrame, time: str, day: str) -> DataFrame:
     return nx.where("target_time IS NOT NULL").withColumn("delta", F.col("target_day") - F.col("source_day")).select("source_time", "target_time", "source_day", "target_day", "delta", "n_source", "n_target")
 
 
-def nearest_targets(source: DataFrame, target: DataFrame, k: int, blocks: int = 8) -> DataFrame:
+def nearest_targets(source: DataFrame, target: DataFrame, k: int, source_rows: int = 4096, target_rows: int = 16384) -> DataFrame:
     """(time_pair, src, dst, distance, rank): the k targets nearest to each source of the same pair, ties by dst.
 
-    ``source``/``target``: time_pair, id, vec. Exact: sources and targets of a pair are cut into ``blocks`` by hash, each two
-    blocks meet in one task as matrices, and the local bests are ranked; k rows a source leave each task.
+    ``source``/``target``: time_pair, id, vec. Exact, so every source is held against every target of its pair: both are cut by hash into
+    blocks of about ``source_rows`` and ``target_rows``, as many as a pair's counts need, each two blocks meet in one task as
+    matrices, and the local bests are ranked; k rows a source leave each task.
     """
     import numpy as np
     import pyarrow as pa
 
-    b = F.sequence(F.lit(0), F.lit(blocks - 1))
-    own = F.pmod(F.hash("id"), F.lit(blocks))
-    s = source.select("time_pair", "id", "vec", own.alias("i"), F.explode(b).alias("j"))
-    t = target.select("time_pair", "id", "vec", F.explode(b).alias("i"), own.alias("j"))
+    def counted(d: DataFrame, rows: int, name: str) -> DataFrame:
+        return d.groupBy("time_pair").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+
+    # A row a time pair.
+    sizes = F.broadcast(counted(source, source_rows, "_a").join(counted(target, target_rows, "_b"), "time_pair"))
+    own, every = (lambda n: F.pmod(F.hash("id"), F.col(n))), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    s = source.join(sizes, "time_pair").select("time_pair", "id", "vec", own("_a").alias("i"), every("_b").alias("j"))
+    t = target.join(sizes, "time_pair").select("time_pair", "id", "vec", every("_a").alias("i"), own("_b").alias("j"))
 
     def best(a: pa.Table, c: pa.Table) -> pa.Table:
         empty = {"time_pair": pa.array([], pa.string()), "src": pa.array([], pa.string()), "dst": pa.array([], pa.string()), "distance": pa.array([], pa.float64())}
@@ -67,12 +72,24 @@ def combined_cost(parts: dict[str, float]) -> Column:
     return sum((F.coalesce(finite(c), F.lit(0.0)) * w for c, w in parts.items()), F.lit(0.0))
 
 
+def temperatures(edges: DataFrame, cost: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, tau): median finite cost per ``keys``, at least 1e-3."""
+    return edges.groupBy(*keys).agg(F.greatest(F.median(finite(cost)), F.lit(1e-3)).alias("tau"))
+
+
+def softmax(edges: DataFrame, distance: str, src: str = "src", out: str = "prob") -> DataFrame:
+    """``out`` = exp(-distance) over its sum per source."""
+    from cellweft.functions.scalars import softmax_weight
+
+    return normalised(edges.withColumn("_w", softmax_weight(distance)), "_w", out, "zero", src).drop("_w")
+
+
 def weighted(edges: DataFrame, cost: str, keys: Sequence[str], temperature: DataFrame | None = None) -> DataFrame:
     """Adds tau (median finite cost per ``keys``, at least 1e-3), weight exp(-cost/tau) and prob per source.
 
     A source whose weights sum to 0 gets probabilities 0.
     """
-    tau = temperature if temperature is not None else edges.groupBy(*keys).agg(F.greatest(F.median(finite(cost)), F.lit(1e-3)).alias("tau"))
+    tau = temperature if temperature is not None else temperatures(edges, cost, keys)
     e = edges.join(tau, list(keys)).withColumn("weight", F.exp(F.greatest(F.least(-F.col(cost) / F.col("tau"), F.lit(700.0)), F.lit(-700.0))))
     return normalised(e, "weight", "prob", "zero")
 
@@ -83,10 +100,11 @@ def normalised(edges: DataFrame, weight: str, out: str, zero: str = "zero", src:
     A source whose sum is 0 gets 0 (``zero``), 1/n (``uniform``) or no rows (``drop``).
     """
     w = F.greatest(F.coalesce(finite(weight), F.lit(0.0)), F.lit(0.0))
-    per = Window.partitionBy(src)
-    total, n = F.sum(w).over(per), F.count(F.lit(1)).over(per)
-    e = edges.withColumn(out, F.when(total > 0, w / total).otherwise(1.0 / n if zero == "uniform" else F.lit(0.0))).withColumn("_sum", total)
-    return (e.where("_sum > 0") if zero == "drop" else e).drop("_sum")
+    # Sums per source are compact partial states; a source with a tenth of all rows is never one task.
+    sums = edges.groupBy(F.col(src).alias("_of")).agg(F.sum(w).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    e = edges.join(sums, F.col(src).eqNullSafe(F.col("_of")))
+    e = e.withColumn(out, F.when(F.col("_sum") > 0, w / F.col("_sum")).otherwise(1.0 / F.col("_n") if zero == "uniform" else F.lit(0.0)))
+    return (e.where("_sum > 0") if zero == "drop" else e).drop("_of", "_sum", "_n")
 
 
 def source_summary(edges: DataFrame, prob: str = "p", src: str = "src") -> DataFrame:
@@ -153,18 +171,21 @@ def shard_plan(sources: DataFrame, pairs: DataFrame, time: str, slice_: str, k:
     return n.join(p, time).select(time, "target_time", slice_, "n_rows", (F.col("n_rows") * F.least(F.lit(k), "n_target")).alias("expected_edges"), (F.col("n_rows") * F.col("n_target") * 8 / 2**30).alias("dense_gib"))
 
 
+def allocation(sizes: DataFrame, stratum: str, cap: int, n: str = "n") -> DataFrame:
+    """(stratum, n, quota): ``cap`` shared in proportion to ``n`` by largest remainder, at least 1 and at most n each (C10). Strata are few."""
+    one = Window.partitionBy(F.lit(1))
+    q = sizes.select(stratum, F.col(n).alias("n")).withColumn("ideal", F.col("n") * cap / F.sum("n").over(one)).withColumn("base", F.least("n", F.greatest(F.floor("ideal"), F.lit(1))))
+    left = F.lit(cap) - F.sum("base").over(one)
+    rank = F.row_number().over(one.orderBy(F.desc(F.col("ideal") - F.floor("ideal")), stratum))
+    return q.withColumn("quota", F.least("n", F.col("base") + F.when(rank <= left, 1).otherwise(0))).select(stratum, "n", "quota")
+
+
 def quota_sample(df: DataFrame, stratum: str, key: str, cap: int, seed: int = 1) -> DataFrame:
-    """``cap`` rows shared among strata in proportion (largest remainder, at least 1, at most what there is).
+    """``cap`` rows shared among strata by :func:`allocation`.
 
     Rows of a stratum are taken in the order of md5(seed|key), which any engine reproduces.
     """
-    n = df.groupBy(stratum).agg(F.count("*").alias("n"))
-    one = Window.partitionBy(F.lit(1))  # strata are few
-    ideal = F.col("n") * cap / F.sum("n").over(one)
-    q = n.withColumn("ideal", ideal).withColumn("base", F.least("n", F.greatest(F.floor("ideal"), F.lit(1))))
-    left = F.lit(cap) - F.sum("base").over(one)
-    rank = F.row_number().over(one.orderBy(F.desc(F.col("ideal") - F.floor("ideal")), stratum))
-    quota = q.withColumn("quota", F.least("n", F.col("base") + F.when(rank <= left, 1).otherwise(0))).select(F.col(stratum).alias("_s"), "quota")
+    quota = allocation(df.groupBy(stratum).agg(F.count("*").alias("n")), stratum, cap).select(F.col(stratum).alias("_s"), "quota")
     order = Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key)
     return df.withColumn("_r", F.row_number().over(order)).join(quota, F.col(stratum).eqNullSafe(F.col("_s"))).where("_r <= quota").drop("_r", "_s", "quota")
 

@@ -229,7 +229,7 @@ e AS (SELECT DISTINCT a.id AS src, b.id AS dst FROM x a JOIN fw USING (allele) J
 u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), co AS (WITH RECURSIVE r(id, m) USING KEY (id) AS (SELECT id, id FROM ids UNION SELECT u.a, min(r.m) FROM r JOIN u ON u.b = r.id JOIN recurring.r q ON q.id = u.a WHERE r.m < q.m GROUP BY u.a) SELECT * FROM r) SELECT id AS joint_id, m AS component FROM co""")
 def j6m(t: Tables) -> DataFrame:
     a = V.assigned(t)
-    return K.merged_joint_ids(a, K.allele_frequencies(a))
+    return K.merged_joint_ids(a)
 
 
 @R.query("j9_clone_qc", _JOINT + """, p AS (SELECT joint_clone_id, slice_id, count(*) AS n, sum(joint_prob) AS sp, count(joint_prob) AS np FROM jj GROUP BY ALL), t AS (SELECT sum(n) AS t FROM p),
