@@ -224,8 +224,9 @@ def smoke_subset(nodes: DataFrame, edges: DataFrame, layer: int, sources: int, m
 def group_means(members: DataFrame, vectors: DataFrame, group: str, key: str, vec: str) -> DataFrame:
     """(group, n_cells, mean_vector): mean of the members' vectors; a member without one is an error."""
     j = require(members.select(group, key).distinct().join(vectors.select(key, vec), key, "left"), "members", without_vector=F.col(vec).isNull())
-    e = j.select(group, key, F.posexplode(vec).alias("i", "v")).groupBy(group, "i").agg(F.avg("v").alias("m"), F.count("*").alias("n"))
-    return e.groupBy(group).agg(F.max("n").alias("n_cells"), F.sort_array(F.collect_list(F.struct("i", "m"))).alias("l")).select(group, "n_cells", F.transform("l", lambda x: x["m"]).alias("mean_vector"))
+    # Running sums per group, folded within tasks first; elements are never rows.
+    size = vectors.select(F.max(F.size(vec)).alias("n")).first()["n"] or 0
+    return j.groupBy(group).agg(F.count("*").alias("n_cells"), F.array(*[F.avg(F.col(vec)[i].cast("double")) for i in range(size)]).alias("mean_vector"))
 
 
 def neighbour_integrity(members: DataFrame, points: DataFrame) -> DataFrame:

@@ -228,9 +228,11 @@ def neighbour_features(points: DataFrame, members: DataFrame, labels: Sequence[s
         s = c.groupBy("group", "anchor").agg(F.sum("n").alias("t"), F.count("*").alias("richness"), F.max("n").alias("m"), F.sum(F.col("n") * F.ln(F.col("n").cast("double"))).alias("nln"))
         out = out.join(s.select("group", "anchor", F.col("richness").alias(f"{label}_richness"), F.when(F.col("richness") > 1, F.ln(F.col("t").cast("double")) - F.col("nln") / F.col("t")).otherwise(0.0).alias(f"{label}_entropy"), (F.col("m") / F.col("t")).alias(f"{label}_top_share")), ["group", "anchor"], "left")
     if vector:
-        v = m.select("group", "anchor", F.posexplode(vector).alias("i", "v")).groupBy("group", "anchor", "i").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
-        v = v.groupBy("group", "anchor").agg(F.sort_array(F.collect_list(F.struct("i", "mean", "var"))).alias("l"))
-        out = out.join(v.select("group", "anchor", F.transform("l", lambda x: x["mean"]).alias("mean_vector"), F.transform("l", lambda x: x["var"]).alias("var_vector")), ["group", "anchor"], "left")
+        # One row of running sums per anchor, folded within tasks first; elements are never rows.
+        size = points.select(F.max(F.size(vector)).alias("n")).first()["n"] or 0
+        x = lambda i: F.col(vector)[i].cast("double")
+        v = m.groupBy("group", "anchor").agg(F.array(*[F.avg(x(i)) for i in range(size)]).alias("mean_vector"), F.array(*[F.var_pop(x(i)) for i in range(size)]).alias("var_vector"))
+        out = out.join(v, ["group", "anchor"], "left")
     return out
 
 

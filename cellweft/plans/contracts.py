@@ -16,7 +16,7 @@ from cellweft.plans import views as V
 from cellweft.plans.lineage import _JOINT
 from cellweft.plans.registry import Registry, Tables
 from cellweft.plans.spatial import _MEM, _POINTS, _RADIUS, _pts
-from cellweft.plans.transitions import _COMPONENTS, _DAYED, _METRICS, _dayed, _fate, _nodes, _vectors
+from cellweft.plans.transitions import _COMPONENTS, _DAYED, _METRICS, _VEC, _dayed, _fate, _nodes, _vectors
 
 R = Registry()
 _A, _AE = "WITH " + V.ANCHORS, "WITH " + V.ANCHORS + "," + V.EDGES
@@ -45,10 +45,11 @@ def t3(t: Tables) -> DataFrame:
     return C.lsh_candidates(v, v, "vec", 48, 5)
 
 
-@R.query("g21_group_means")
+@R.query("g21_group_means", _A + _VEC + """, z AS (SELECT anchors.slice_id, id, unnest(range(1, 49)) AS i, unnest(vec) AS x FROM u JOIN anchors ON anchor_id = id), g AS (SELECT slice_id, i, avg(x) AS m, count(*) AS n FROM z GROUP BY ALL)
+SELECT slice_id, max(n) AS n_cells, list(round(m, 5) ORDER BY i) AS mean_vector FROM g GROUP BY slice_id""")
 def g21(t: Tables) -> DataFrame:
-    v = _vectors(t).select("id", "slice_id", "vec")
-    return C.group_means(v.select("slice_id", "id"), v, "slice_id", "id", "vec")
+    v = V.current_vectors(t).where("day IS NOT NULL").select("id", "slice_id", "vec")
+    return C.group_means(v.select("slice_id", "id"), v, "slice_id", "id", "vec").withColumn("mean_vector", F.transform("mean_vector", lambda x: F.round(x, 5)))
 
 
 @R.query("g22_neighbour_integrity", _MEM + "SELECT count(*) FILTER (own = 0) AS without_self, 0::BIGINT AS unknown, 0::BIGINT AS repeated, 0::BIGINT AS without_list FROM (SELECT anchor, count(*) FILTER (anchor = member) AS own FROM m GROUP BY anchor)")
@@ -114,9 +115,10 @@ def fate10q(t: Tables) -> DataFrame:
     return V.rounded(FT.quantiles_by(FT.metrics(f, 8).join(n.select("id", "slice_id"), "id"), "slice_id", "top1"))
 
 
-@R.query("fate13_tiers")
+@R.query("fate13_tiers", _METRICS + ", z AS (SELECT id, round(top1, 9) AS top1, round(greatest(least(h / ln(8), 1), 0), 9) AS ne FROM q), l AS (SELECT quantile_cont(top1, .25) AS lo, quantile_cont(top1, .75) AS hi, quantile_cont(ne, .75) AS e FROM z) SELECT id, CASE WHEN top1 >= hi THEN 'high' WHEN top1 <= lo AND ne >= e THEN 'low' ELSE 'mixed' END AS tier FROM z, l")
 def fate13(t: Tables) -> DataFrame:
-    return FT.tiers(FT.metrics(_fate(t)[0], 8))
+    m = V.rounded(FT.metrics(_fate(t)[0], 8), 9)
+    return FT.tiers(m).select("id", "tier")
 
 
 @R.query("c14_largest_component", _DAYED + """, w AS (SELECT src, dst, p FROM de WHERE p >= 0.02), u AS (SELECT src AS a, dst AS b FROM w UNION SELECT dst, src FROM w), co AS (WITH RECURSIVE r(id, m) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT u.a, min(r.m) FROM r JOIN u ON u.b = r.id JOIN recurring.r q ON q.id = u.a WHERE r.m < q.m GROUP BY u.a) SELECT * FROM r),

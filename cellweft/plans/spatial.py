@@ -10,6 +10,7 @@ from cellweft.operators import diversity as D
 from cellweft.operators import spatial as G
 from cellweft.plans import views as V
 from cellweft.plans.registry import Registry, Tables
+from cellweft.plans.views import current_vectors
 
 R = Registry()
 
@@ -123,11 +124,14 @@ def g17_features(t: Tables) -> DataFrame:
     return V.rounded(G.neighbour_features(p, G.with_self(p, G.within_radius(p, _RADIUS)), ["l1", "l2"]).drop("group", "pseudo_density"))
 
 
-@R.query("g14_mean_variance")
+@R.query("g14_mean_variance", _MEM + """, v AS (SELECT upper(trim(anchor_id)) AS id, CAST(features AS DOUBLE[]) AS vec FROM niche_anchors QUALIFY row_number() OVER (PARTITION BY upper(trim(anchor_id)) ORDER BY rep_version DESC NULLS LAST) = 1),
+u AS (SELECT id, vec FROM v WHERE len(vec) = 48 AND len(list_filter(vec, lambda x: NOT isfinite(x) OR x IS NULL)) = 0), k AS (SELECT m.anchor, u.vec FROM m JOIN u ON m.member = u.id JOIN u o ON o.id = m.anchor), z AS (SELECT anchor, unnest(range(1, 49)) AS i, unnest(vec) AS x FROM k), g AS (SELECT anchor, i, avg(x) AS a, var_pop(x) AS s FROM z GROUP BY ALL)
+SELECT anchor, list(round(a, 5) ORDER BY i) AS mean_vector, list(round(s, 5) ORDER BY i) AS var_vector FROM g GROUP BY anchor""")
 def g14_mean_variance(t: Tables) -> DataFrame:
-    a = t.niche_anchors.where("features IS NOT NULL").select(F.upper(F.trim("anchor_id")).alias("id"), "features").dropDuplicates(["id"])
-    p = _pts(t).join(a, "id")
-    return G.neighbour_features(p, G.with_self(p, G.within_radius(p, _RADIUS)), [], "features").select(F.col("anchor"), "mean_vector", "var_vector")
+    p = _pts(t).join(current_vectors(t).select("id", "vec"), "id")
+    f = G.neighbour_features(p, G.with_self(p, G.within_radius(p, _RADIUS)), [], "vec")
+    five = lambda c: F.transform(c, lambda x: F.round(x, 5)).alias(c)
+    return f.select("anchor", five("mean_vector"), five("var_vector"))
 
 
 @R.query("g16_topology", _NEAR + """, d AS (SELECT p.g, p.id, count(e.dst) AS degree FROM pts p LEFT JOIN e ON p.g = e.g AND p.id = e.src GROUP BY ALL)

@@ -28,6 +28,13 @@ def anchors(t: Tables) -> DataFrame:
     return best.select("anchor_id", *[F.col("r")[c].alias(c) for c in cols])
 
 
+def current_vectors(t: Tables, dim: int = 48) -> DataFrame:
+    """id, slice_id, day, vec (doubles) of anchors whose current version has ``dim`` finite numbers."""
+    d = t.niche_anchors.where("anchor_id IS NOT NULL").select(key("anchor_id").alias("id"), key("slice_id").alias("slice_id"), F.col("time_day").alias("day"), "rep_version", "features")
+    b = d.groupBy("id").agg(F.max_by(F.struct("day", "slice_id", "features"), F.struct("rep_version", "features")).alias("r")).select("id", "r.*")
+    return b.where(f"size(features) = {dim} AND forall(features, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))").select("id", "slice_id", "day", F.col("features").cast("array<double>").alias("vec"))
+
+
 EDGES = """
 edges AS (
   SELECT upper(trim(source_anchor_id)) AS src, upper(trim(target_anchor_id)) AS dst, v2_row_normalized_transition_prob AS p, row_normalized_transition_prob AS p1,
