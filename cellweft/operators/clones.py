@@ -11,6 +11,7 @@ from cellweft.functions.scalars import joint_alleles, locus
 from cellweft.operators.graph import component_sizes, weak_components
 from cellweft.operators.lineage import LOCI
 from cellweft.operators.pairs import basket_pairs
+from cellweft.operators.quantiles import quantiles
 from cellweft.session import cut
 
 
@@ -32,7 +33,7 @@ def cell_complexity(evidence: DataFrame, q: float = 0.99) -> DataFrame:
     """(cell_key, n_features, n_loci, max_fraction, bridge_score, bridge): score n * max(loci, 1) * (1 - largest share); bridge above the quantile."""
     c = evidence.groupBy("cell_key").agg(F.countDistinct("feature").alias("n_features"), F.countDistinct("assay").alias("n_loci"), (F.max("n") / F.sum("n")).alias("max_fraction"))
     c = c.withColumn("bridge_score", F.col("n_features") * F.greatest("n_loci", F.lit(1)) * (1 - F.col("max_fraction")))
-    lim = c.agg(F.percentile("bridge_score", F.lit(q)).alias("_q"))
+    lim = quantiles(c, [], "bridge_score", _q=q)
     return c.crossJoin(F.broadcast(lim)).withColumn("bridge", (F.col("bridge_score") > F.col("_q")) & (F.col("n_features") > 1)).drop("_q")  # one row
 
 
@@ -104,8 +105,8 @@ def null_thresholds(scores: DataFrame, null_scores: DataFrame, q_score: float =
         r = s.withColumn("r", F.row_number().over(Window.partitionBy("cell_key").orderBy(F.desc("score"), "signature"))).where("r <= 2")
         return r.groupBy("cell_key").agg(F.max("score").alias("b"), (F.max("score") - F.coalesce(F.max(F.when(F.col("r") == 2, F.col("score"))), F.lit(0.0))).alias("m"))
 
-    real = best(scores).agg(F.percentile("b", F.lit(0.05)).alias("fb"))
-    null = best(null_scores).agg(F.percentile("b", F.lit(q_score)).alias("nb"), F.percentile("m", F.lit(q_margin)).alias("nm"))
+    real, shuffled = quantiles(best(scores), [], "b", fb=0.05), best(null_scores)
+    null = quantiles(shuffled, [], "b", nb=q_score).crossJoin(quantiles(shuffled, [], "m", nm=q_margin))
     return null.crossJoin(real).select(F.coalesce("nb", "fb").alias("min_score"), F.coalesce("nm", 0.1 * F.col("fb")).alias("min_margin"))  # one row each
 
 
@@ -294,7 +295,7 @@ def membership_thresholds(null: DataFrame, group: str, score: str, floors: dict[
 
     The threshold is the fitted 99 % point: mu + 2.326 sigma, with sigma = (q99 - q95) / (2.326 - 1.645).
     """
-    q = null.groupBy(group, by_class).agg(F.percentile(score, F.array(F.lit(0.95), F.lit(0.99))).alias("q")).select(group, by_class, F.col("q")[0].alias("q95"), F.col("q")[1].alias("q99"))
+    q = quantiles(null, [group, by_class], score, q95=0.95, q99=0.99)
     sigma = (F.col("q99") - F.col("q95")) / (2.326 - 1.645)
     q = q.withColumn("sigma", sigma).withColumn("mu", F.col("q95") - 1.645 * F.col("sigma"))
     return q.withColumn("threshold", class_floor(F.col("mu") + 2.326 * F.col("sigma"), F.col(by_class), floors))

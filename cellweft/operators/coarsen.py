@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweft.operators.quantiles import with_quantiles
+
 
 def cluster_count(n: Column, mean: Column, low: int = 50, high: int = 150, at_mean: int = 100) -> Column:
     """round(100 * sqrt(n / mean)) within bounds, half to even."""
@@ -112,7 +114,7 @@ def compactness(df: DataFrame, state: str, x: str = "x", y: str = "y") -> DataFr
     """(state, n, median_r, p90_r, diffuse): distance to the centroid; diffuse above max(2 * median p90, p90 of p90)."""
     c = df.groupBy(state).agg(F.avg(x).alias("_x"), F.avg(y).alias("_y"))
     r = df.join(c, state).withColumn("_r", F.sqrt((F.col(x) - F.col("_x")) ** 2 + (F.col(y) - F.col("_y")) ** 2))
-    s = r.groupBy(state).agg(F.count("*").alias("n"), F.median("_r").alias("median_r"), F.percentile("_r", F.lit(0.9)).alias("p90_r"))
+    s = with_quantiles(r.groupBy(state).agg(F.count("*").alias("n")), r, [state], "_r", median_r=0.5, p90_r=0.9)
     lim = s.agg(F.greatest(2 * F.median("p90_r"), F.percentile("p90_r", F.lit(0.9))).alias("_l"))
     return s.crossJoin(F.broadcast(lim)).withColumn("diffuse", F.col("p90_r") > F.col("_l")).drop("_l")  # one row
 

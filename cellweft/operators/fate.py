@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweft.operators.gates import require
+from cellweft.operators.quantiles import quantiles, with_quantiles
 from cellweft.session import cut
 
 
@@ -71,8 +72,7 @@ def by_group(fate: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
 
 def quantiles_by(values: DataFrame, group: str, value: str) -> DataFrame:
     """(group, p25, p50, p75) with linear interpolation (P10)."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return values.groupBy(group).agg(q.alias("q")).select(group, F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"))
+    return with_quantiles(values.select(group).distinct(), values, [group], value, p25=0.25, p50=0.5, p75=0.75)
 
 
 def stability(summary: DataFrame, time: str) -> DataFrame:
@@ -86,7 +86,7 @@ def stability(summary: DataFrame, time: str) -> DataFrame:
 
 def tiers(m: DataFrame, low: float = 0.25, high: float = 0.75) -> DataFrame:
     """Adds ``tier``: high, low or mixed by the table's own quantiles of top1 and norm_entropy."""
-    q = m.agg(F.percentile("top1", F.lit(low)).alias("_l"), F.percentile("top1", F.lit(high)).alias("_h"), F.percentile("norm_entropy", F.lit(high)).alias("_e"))
+    q = quantiles(m, [], "top1", _l=low, _h=high).crossJoin(quantiles(m, [], "norm_entropy", _e=high))  # one row each
     t = F.when(F.col("top1") >= F.col("_h"), "high").when((F.col("top1") <= F.col("_l")) & (F.col("norm_entropy") >= F.col("_e")), "low").otherwise("mixed")
     return m.crossJoin(F.broadcast(q)).withColumn("tier", t).drop("_l", "_h", "_e")  # one row
 

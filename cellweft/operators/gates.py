@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweft.functions.scalars import finite
+from cellweft.operators.quantiles import with_quantiles
 
 
 class CheckFailed(ValueError):
@@ -63,9 +64,8 @@ def integrity(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n, missing, non_finite, mean, std, q25, median, q75): sample deviation and linear quantiles over finite values."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("e")).select("e.*")
     f = finite("v")
-    q = F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return long.groupBy("column").agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("missing"), F.count_if(F.col("v").isNotNull() & f.isNull()).alias("non_finite"), F.avg(f).alias("mean"), F.stddev_samp(f).alias("std"), q.alias("q")).select(
-        "column", "n", "missing", "non_finite", "mean", "std", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"))
+    a = long.groupBy("column").agg(F.count("*").alias("n"), F.count_if(F.col("v").isNull()).alias("missing"), F.count_if(F.col("v").isNotNull() & f.isNull()).alias("non_finite"), F.avg(f).alias("mean"), F.stddev_samp(f).alias("std"))
+    return with_quantiles(a, long, ["column"], "v", q25=0.25, median=0.5, q75=0.75)
 
 
 def complete_scales(df: DataFrame, keys: Sequence[str], scale: str, scales: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweft.operators.quantiles import with_quantiles
 from cellweft.operators.transitions import normalised
 from cellweft.session import cut
 
@@ -47,7 +48,8 @@ def row_sum_qc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     s = edges.groupBy(F.col("src").alias("id")).agg(F.sum("p").alias("s"))
     want = F.when(F.col("is_final"), 0.0).otherwise(1.0)
     d = nodes.select("id", "is_final").join(s, "id", "left").withColumn("dev", F.abs(F.coalesce("s", F.lit(0.0)) - want))
-    return d.groupBy("is_final").agg(F.count("*").alias("n"), F.max("dev").alias("max_dev"), F.percentile("dev", F.lit(0.99)).alias("p99_dev"), F.count_if(F.col("dev") > 1e-6).alias("over_1e6"), F.count_if(F.col("dev") > 1e-5).alias("over_1e5"))
+    a = d.groupBy("is_final").agg(F.count("*").alias("n"), F.max("dev").alias("max_dev"), F.count_if(F.col("dev") > 1e-6).alias("over_1e6"), F.count_if(F.col("dev") > 1e-5).alias("over_1e5"))
+    return with_quantiles(a, d, ["is_final"], "dev", p99_dev=0.99)
 
 
 def degrees_by(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -67,7 +69,8 @@ def mass_by(edges: DataFrame, keys: Sequence[str], p: str = "p") -> DataFrame:
 def row_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: targets per node (min, median, p99, max), nodes without any, negative entries, self mass (M8)."""
     n = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
-    a = nodes.select("id").join(n, "id", "left").na.fill(0, ["n"]).agg(F.min("n").alias("min_nnz"), F.median("n").alias("median_nnz"), F.percentile("n", F.lit(0.99)).alias("p99_nnz"), F.max("n").alias("max_nnz"), F.count_if(F.col("n") == 0).alias("zero_rows"))
+    d = nodes.select("id").join(n, "id", "left").na.fill(0, ["n"])
+    a = with_quantiles(d.agg(F.min("n").alias("min_nnz"), F.max("n").alias("max_nnz"), F.count_if(F.col("n") == 0).alias("zero_rows")), d, [], "n", median_nnz=0.5, p99_nnz=0.99)
     b = edges.agg(F.count_if(F.col("p") < 0).alias("negative"), F.coalesce(F.sum(F.when(F.col("src") == F.col("dst"), F.col("p"))), F.lit(0.0)).alias("self_mass"))
     return a.crossJoin(b)  # one row each
 
@@ -75,7 +78,7 @@ def row_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def kernel_verdict(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-5, low: int = 5, high: int = 50) -> DataFrame:
     """One row of checks of a transition kernel and whether all hold (M9). ``edges`` carry source_day, target_day."""
     s = edges.groupBy("src").agg(F.sum("p").alias("s"), F.count("*").alias("n"))
-    a = s.agg(F.max(F.abs(F.col("s") - 1)).alias("max_dev"), F.median("n").alias("median_nnz"), F.count("*").alias("n_sources"))
+    a = with_quantiles(s.agg(F.max(F.abs(F.col("s") - 1)).alias("max_dev"), F.count("*").alias("n_sources")), s, [], "n", median_nnz=0.5)
     b = edges.agg(F.count_if(F.col("source_day") > F.col("target_day")).alias("backward"))
     c = nodes.agg(F.count("*").alias("n_nodes"))
     r = a.crossJoin(b).crossJoin(c)  # one row each
@@ -123,7 +126,8 @@ def mixture(parts: Sequence[tuple[DataFrame, float]], nodes: DataFrame, self_wei
 
 def entry_distribution(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Per ``keys``: edges, distinct ends, mass, smallest, mean, median and largest entry."""
-    return edges.groupBy(*keys).agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_sources"), F.countDistinct("dst").alias("n_targets"), F.sum("p").alias("mass"), F.min("p").alias("min_p"), F.avg("p").alias("mean_p"), F.median("p").alias("median_p"), F.max("p").alias("max_p"))
+    a = edges.groupBy(*keys).agg(F.count("*").alias("n_edges"), F.countDistinct("src").alias("n_sources"), F.countDistinct("dst").alias("n_targets"), F.sum("p").alias("mass"), F.min("p").alias("min_p"), F.avg("p").alias("mean_p"), F.max("p").alias("max_p"))
+    return with_quantiles(a, edges, keys, "p", median_p=0.5)
 
 
 def coarse(edges: DataFrame, groups: DataFrame, final: DataFrame | None = None) -> DataFrame:

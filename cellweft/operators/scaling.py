@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweft.functions.scalars import finite
+from cellweft.operators.quantiles import column_quantiles
 
 
 def pivot_scales(df: DataFrame, keys: Sequence[str], scale: str, scales: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -23,28 +24,28 @@ def pivot_scales(df: DataFrame, keys: Sequence[str], scale: str, scales: Sequenc
 
 def imputed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Non-finite and missing values become the column's median, or 0 if it has none (F16)."""
-    mid = df.agg(*[F.median(finite(c)).alias(f"_m_{c}") for c in columns])
+    mid = column_quantiles(df, columns, m=0.5)
     j = df.crossJoin(F.broadcast(mid))  # one row
     return j.select(*[F.coalesce(finite(c), F.col(f"_m_{c}"), F.lit(0.0)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def _scaled(df: DataFrame, columns: Sequence[str], over: DataFrame, stats: dict[str, object], expr: object) -> DataFrame:
-    row = over.agg(*[f(finite(c)).alias(f"_{s}_{c}") for c in columns for s, f in stats.items()])  # type: ignore[operator]
+    """``stats`` are aggregates, or numbers for quantiles."""
+    at = {s: p for s, p in stats.items() if isinstance(p, float)}
+    row = over.agg(*[f(finite(c)).alias(f"_{s}_{c}") for c in columns for s, f in stats.items() if s not in at], F.lit(1).alias("_one"))  # type: ignore[operator]
+    if at:
+        row = row.crossJoin(F.broadcast(column_quantiles(over, columns, **at)))  # one row each
     j = df.crossJoin(F.broadcast(row))  # one row
     return j.select(*[expr(finite(c), {s: F.col(f"_{s}_{c}") for s in stats}).alias(c) if c in columns else F.col(c) for c in df.columns])  # type: ignore[operator]
 
 
-def _q(p: float) -> object:
-    return lambda c: F.percentile(c, F.lit(p))
-
-
 def robust(df: DataFrame, columns: Sequence[str], over: DataFrame | None = None, policy: str = "chain") -> DataFrame:
     """Columns centred on the median and divided by the interquartile range, with one of three rules for flat columns.
 
     ``chain``: IQR, else population deviation, else 1. ``unit``: IQR below 1e-8 counts as 1 and missing values become the median.
     ``drop``: IQR below 1e-6 makes the column 0. ``over``: rows that statistics are taken from (a union of both sides, say).
     """
-    stats = {"q1": _q(0.25), "q2": _q(0.5), "q3": _q(0.75), "sd": F.stddev_pop}
+    stats = {"q1": 0.25, "q2": 0.5, "q3": 0.75, "sd": F.stddev_pop}
 
     def one(c: Column, s: dict[str, Column]) -> Column:
         iqr = s["q3"] - s["q1"]
@@ -67,7 +68,7 @@ def standard(df: DataFrame, columns: Sequence[str], over: DataFrame | None = Non
 
 def fallback(df: DataFrame, columns: Sequence[str], floor: float = 1e-6) -> DataFrame:
     """(x-median)/IQR, else (x-mean)/deviation, else (x-min)/range, else 0, whichever first is wider than ``floor`` (T4)."""
-    stats = {"q1": _q(0.25), "q2": _q(0.5), "q3": _q(0.75), "mu": F.avg, "sd": F.stddev_pop, "lo": F.min, "hi": F.max}
+    stats = {"q1": 0.25, "q2": 0.5, "q3": 0.75, "mu": F.avg, "sd": F.stddev_pop, "lo": F.min, "hi": F.max}
 
     def one(c: Column, s: dict[str, Column]) -> Column:
         iqr, span = s["q3"] - s["q1"], s["hi"] - s["lo"]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweft.functions.scalars import finite
+from cellweft.operators.quantiles import quantiles, with_quantiles
 from cellweft.session import cut, release
 
 
@@ -24,9 +25,9 @@ def located(df: DataFrame, group: str, id_col: str, x: str = "x", y: str = "y",
 
 def normalised(points: DataFrame) -> DataFrame:
     """Adds xn, yn: centred on the per-axis median of the group and divided by the median distance from it, or by 1 if that is 0."""
-    mid = points.groupBy("group").agg(F.median("x").alias("mx"), F.median("y").alias("my"))
+    mid = quantiles(points, ["group"], "x", mx=0.5).join(quantiles(points, ["group"], "y", my=0.5), "group")
     c = points.join(mid, "group").withColumn("cx", F.col("x") - F.col("mx")).withColumn("cy", F.col("y") - F.col("my"))
-    size = c.groupBy("group").agg(F.median(F.sqrt(F.col("cx") ** 2 + F.col("cy") ** 2)).alias("s"))
+    size = quantiles(c, ["group"], F.sqrt(F.col("cx") ** 2 + F.col("cy") ** 2), s=0.5)
     s = F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)
     return c.join(size, "group").withColumn("xn", F.col("cx") / s).withColumn("yn", F.col("cy") / s).drop("mx", "my", "cx", "cy", "s")
 
@@ -103,7 +104,7 @@ def symmetric(edges: DataFrame) -> DataFrame:
 def first_neighbour_distance(points: DataFrame) -> DataFrame:
     """(group, r): median distance to the nearest other point; 0 for a group of one."""
     d = nearest(points, 1)
-    return points.select("group").distinct().join(d.groupBy("group").agg(F.median("d").alias("r")), "group", "left").select("group", F.coalesce("r", F.lit(0.0)).alias("r"))
+    return with_quantiles(points.select("group").distinct(), d, ["group"], "d", r=0.5).select("group", F.coalesce("r", F.lit(0.0)).alias("r"))
 
 
 def delaunay(points: DataFrame) -> DataFrame:

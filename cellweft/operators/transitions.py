@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweft.functions.scalars import finite
+from cellweft.operators.quantiles import quantiles, with_quantiles
 
 
 def adjacent_times(df: DataFrame, time: str, day: str) -> DataFrame:
@@ -74,7 +75,7 @@ def combined_cost(parts: dict[str, float]) -> Column:
 
 def temperatures(edges: DataFrame, cost: str, keys: Sequence[str]) -> DataFrame:
     """(keys, tau): median finite cost per ``keys``, at least 1e-3."""
-    return edges.groupBy(*keys).agg(F.greatest(F.median(finite(cost)), F.lit(1e-3)).alias("tau"))
+    return quantiles(edges, keys, cost, tau=0.5).withColumn("tau", F.greatest("tau", F.lit(1e-3)))
 
 
 def softmax(edges: DataFrame, distance: str, src: str = "src", out: str = "prob") -> DataFrame:
@@ -117,7 +118,9 @@ def source_summary(edges: DataFrame, prob: str = "p", src: str = "src") -> DataF
 def probability_diagnostics(edges: DataFrame, prob: str = "p", keys: Sequence[str] = ()) -> DataFrame:
     """Over sources: row sums, mean entropy and top share, share of sources whose top share is at least .95."""
     s = edges.groupBy(*keys, "src").agg(F.sum(prob).alias("s"), F.sum(F.when(F.col(prob) > 0, -F.col(prob) * F.ln(prob)).otherwise(0.0)).alias("h"), F.max(prob).alias("m"))
-    return s.groupBy(*keys).agg(F.count("*").alias("n_sources"), F.min("s").alias("min_sum"), F.max("s").alias("max_sum"), F.avg("s").alias("mean_sum"), F.avg("h").alias("mean_entropy"), F.avg("m").alias("mean_top1"), F.percentile("m", F.lit(0.95)).alias("p95_top1"), F.avg(F.exp("h")).alias("mean_effective"))
+    a = s.groupBy(*keys).agg(F.count("*").alias("n_sources"), F.min("s").alias("min_sum"), F.max("s").alias("max_sum"), F.avg("s").alias("mean_sum"), F.avg("h").alias("mean_entropy"), F.avg("m").alias("mean_top1"), F.avg(F.exp("h")).alias("mean_effective"))
+    cols = [*keys, "n_sources", "min_sum", "max_sum", "mean_sum", "mean_entropy", "mean_top1", "p95_top1", "mean_effective"]
+    return with_quantiles(a, s, keys, "m", p95_top1=0.95).select(*cols)
 
 
 def category_spread(edges: DataFrame, category: str, prob: str = "p") -> DataFrame:
@@ -130,8 +133,9 @@ def category_spread(edges: DataFrame, category: str, prob: str = "p") -> DataFra
 def adaptive_bandwidth(edges: DataFrame, distance: str, floor: float = 1e-6, q: float = 0.5) -> DataFrame:
     """(src, tau): quantile of the source's distances above ``floor``; the overall one where it has none; at least ``floor`` (V1)."""
     d = F.when(finite(distance) > floor, finite(distance))
-    every = edges.agg(F.percentile(d, F.lit(q)).alias("_all"))
-    return edges.groupBy("src").agg(F.percentile(d, F.lit(q)).alias("tau")).crossJoin(F.broadcast(every)).select("src", F.greatest(F.coalesce("tau", "_all"), F.lit(floor)).alias("tau"))
+    every = quantiles(edges, [], d, _all=q)
+    own = with_quantiles(edges.select("src").distinct(), edges, ["src"], d, tau=q)
+    return own.crossJoin(F.broadcast(every)).select("src", F.greatest(F.coalesce("tau", "_all"), F.lit(floor)).alias("tau"))
 
 
 def soft_gate(distance: Column | str, tau: Column | str, strength: float) -> Column:

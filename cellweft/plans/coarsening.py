@@ -120,12 +120,12 @@ def b1(t: Tables) -> DataFrame:
     return V.rounded(B.candidate_overlap(*_ranks(t)).drop("rank_correlation"))
 
 
-_DRIFT = _E + ", a AS (SELECT src, dst, p FROM edges WHERE p > 0.005), b AS (SELECT src, dst, p1 AS p FROM edges WHERE p1 > 0.005 AND p1 <= 1), d AS (SELECT src, dst, coalesce(a.p, 0) AS pa, coalesce(b.p, 0) AS pb, abs(coalesce(b.p, 0) - coalesce(a.p, 0)) AS drift FROM a FULL JOIN b USING (src, dst))"
+_DRIFT = _E + ", a AS (SELECT src, dst, p FROM edges), b AS (SELECT src, dst, p1 AS p FROM edges WHERE p1 > 0 AND p1 <= 1), d AS (SELECT src, dst, coalesce(a.p, 0) AS pa, coalesce(b.p, 0) AS pb, abs(coalesce(b.p, 0) - coalesce(a.p, 0)) AS drift FROM a FULL JOIN b USING (src, dst))"
 
 
 def _drift(t: Tables) -> DataFrame:
     e = V.edges(t)
-    return B.drift(e.where("p > 0.005").select("src", "dst", "p"), e.where("p1 > 0.005 AND p1 <= 1").select("src", "dst", F.col("p1").alias("p")))
+    return B.drift(e.select("src", "dst", "p"), e.where("p1 > 0 AND p1 <= 1").select("src", "dst", F.col("p1").alias("p")))
 
 
 @R.query("b2_drift", _DRIFT + "SELECT src, dst, pa, pb, round(drift, 6) AS drift FROM d")
@@ -157,9 +157,12 @@ def b6(t: Tables) -> DataFrame:
     return V.rounded(B.mass_shift(e.select("source_time", "target_slice_id", F.col("p").alias("v")), ok, ["source_time", "target_slice_id"], "v").drop("where"))
 
 
-@R.query("s4_profile", "WITH n AS (SELECT count(*) AS n, count(x) AS cx, count(deleted_at) AS cd, count(cellbin_id) AS cc FROM cellbins) SELECT 'x' AS \"column\", n, cx AS filled FROM n UNION ALL SELECT 'deleted_at', n, cd FROM n UNION ALL SELECT 'cellbin_id', n, cc FROM n")
+_CB = ("sample_id", "slice_id", "section_order", "cellbin_id", "x", "y", "registered_at", "deleted_at")
+
+
+@R.query("s4_profile", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count({c}) AS filled FROM cellbins" for c in _CB))
 def s4(t: Tables) -> DataFrame:
-    return IO.profile(t.cellbins).where(F.col("column").isin("x", "deleted_at", "cellbin_id")).select("column", "n", "filled")
+    return IO.profile(t.cellbins).select("column", "n", "filled")
 
 
 @R.query("s12_selected_rows", "SELECT edge_id FROM transition_edges WHERE upper(trim(source_anchor_id)) IN (SELECT upper(trim(anchor_id)) FROM atlas_anchors)")

@@ -121,20 +121,9 @@ def fate13(t: Tables) -> DataFrame:
     return FT.tiers(m).select("id", "tier")
 
 
-@R.query("c14_largest_component", _DAYED + """, w AS (SELECT src, dst, p FROM de WHERE p >= 0.02), u AS (SELECT src AS a, dst AS b FROM w UNION SELECT dst, src FROM w), co AS (WITH RECURSIVE r(id, m) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT u.a, min(r.m) FROM r JOIN u ON u.b = r.id JOIN recurring.r q ON q.id = u.a WHERE r.m < q.m GROUP BY u.a) SELECT * FROM r),
-big AS (SELECT id FROM co WHERE m = (SELECT m FROM co GROUP BY m ORDER BY count(*) DESC, m LIMIT 1)), s AS (SELECT src, dst, sum(p) AS x FROM w WHERE src IN (SELECT id FROM big) AND dst IN (SELECT id FROM big) GROUP BY ALL) SELECT src, dst, round(x / sum(x) OVER (PARTITION BY src), 6) AS p FROM s""")
-def c14(t: Tables) -> DataFrame:
-    from cellweft.operators.graph import component_sizes, weak_components
-
-    e = _dayed(t).where("p >= 0.02")
-    c = weak_components(_nodes(t), e)
-    big = c.join(component_sizes(c).where("rank = 1").select("component"), "component", "left_semi").select("id")
-    return V.rounded(markov.restricted(e, big))
-
-
-@R.query("c14_all_edges", _COMPONENTS + """, big AS (SELECT id FROM w WHERE m = (SELECT m FROM w GROUP BY m ORDER BY count(*) DESC, m LIMIT 1)), s AS (SELECT src, dst, sum(p) AS x FROM de WHERE src IN (SELECT id FROM big) AND dst IN (SELECT id FROM big) GROUP BY ALL)
+@R.query("c14_largest_component", _COMPONENTS + """, big AS (SELECT id FROM w WHERE m = (SELECT m FROM w GROUP BY m ORDER BY count(*) DESC, m LIMIT 1)), s AS (SELECT src, dst, sum(p) AS x FROM de WHERE src IN (SELECT id FROM big) AND dst IN (SELECT id FROM big) GROUP BY ALL)
 SELECT src, dst, round(x / sum(x) OVER (PARTITION BY src), 6) AS p FROM s UNION ALL SELECT id, id, 1.0 FROM big WHERE id NOT IN (SELECT src FROM s)""")
-def c14_all(t: Tables) -> DataFrame:
+def c14(t: Tables) -> DataFrame:
     return V.rounded(_in_largest_component(_nodes(t), _dayed(t)))
 
 

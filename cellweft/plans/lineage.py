@@ -128,8 +128,9 @@ _RARE = _REF + ", rr AS (SELECT feature FROM ref WHERE fraction <= 0.02), re AS
 
 def _rare(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = _features(t)
-    ref = K.feature_reference(e)
-    few = ref.where("fraction <= 0.02").select("feature")
+    # Features in more than 2 % of cells are common and link nothing: a parameter of K2.
+    ref = K.feature_reference(e, low=0.02)
+    few = ref.where("valid").select("feature")
     kept = e.join(few, "feature", "left_semi")
     return e, kept, ref
 
@@ -146,7 +147,7 @@ cs AS (SELECT m AS component, count(*) AS n, row_number() OVER (ORDER BY count(*
 @R.query("k5_components", _COMP + "SELECT id, component, n, rank FROM co JOIN cs ON co.m = cs.component")
 def k5(t: Tables) -> DataFrame:
     _, kept, ref = _rare(t)
-    return K.components(ref.where("fraction <= 0.02").select(F.col("feature").alias("id")), K.compatibility_graph(kept))
+    return K.components(ref.where("valid").select(F.col("feature").alias("id")), K.compatibility_graph(kept))
 
 
 _SIG = _COMP + ", sm AS (SELECT id AS feature, m AS signature FROM co)"
@@ -154,7 +155,7 @@ _SIG = _COMP + ", sm AS (SELECT id AS feature, m AS signature FROM co)"
 
 def _signed(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     _, kept, ref = _rare(t)
-    c = K.components(ref.where("fraction <= 0.02").select(F.col("feature").alias("id")), K.compatibility_graph(kept))
+    c = K.components(ref.where("valid").select(F.col("feature").alias("id")), K.compatibility_graph(kept))
     return kept, c.select(F.col("id").alias("feature"), F.col("component").alias("signature")), ref
 
 

@@ -9,6 +9,7 @@ from cellweft.functions import scalars as S
 from cellweft.operators import fate as FT
 from cellweft.operators import gates, graph, markov, scaling
 from cellweft.operators import transitions as T
+from cellweft.operators.quantiles import quantiles
 from cellweft.plans import views as V
 from cellweft.plans.registry import Registry, Tables
 
@@ -101,7 +102,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS ran
 SELECT src, dst, rank, round(CASE WHEN sum(w) OVER (PARTITION BY src) > 0 THEN w / sum(w) OVER (PARTITION BY src) ELSE 1 / count(*) OVER (PARTITION BY src) END, 6) AS prob FROM k""")
 def v5(t: Tables) -> DataFrame:
     e = V.edges(t)
-    tau = e.groupBy("src").agg(F.median("p").alias("tau"))
+    tau = quantiles(e, ["src"], "p", tau=0.5)
     g = e.join(tau, "src").withColumn("d", 1 - F.col("p")).withColumn("gate", T.soft_gate(F.col("p"), F.lit(1.0), 0.5))
     return V.rounded(T.sharpened(g, "p", "d", "tau", ["gate"], 0.5, 10).select("src", "dst", "rank", "prob"))
 
@@ -245,17 +246,11 @@ def m10(t: Tables) -> DataFrame:
     return V.rounded(markov.with_self_loops(_nodes(t), _dayed(t)))
 
 
-@R.query("m11_components", _DAYED + """, u AS (SELECT src AS a, dst AS b FROM de WHERE p >= 0.02 UNION SELECT dst, src FROM de WHERE p >= 0.02), w AS (WITH RECURSIVE r(id, m) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT u.a, min(r.m) FROM r JOIN u ON u.b = r.id JOIN recurring.r q ON q.id = u.a WHERE r.m < q.m GROUP BY u.a) SELECT * FROM r)
-SELECT id, m AS component FROM w""")
-def m11(t: Tables) -> DataFrame:
-    return graph.weak_components(_nodes(t), _dayed(t).where("p >= 0.02"))
-
-
 _COMPONENTS = _DAYED + ", u AS (SELECT src AS a, dst AS b FROM de UNION SELECT dst, src FROM de), w AS (WITH RECURSIVE r(id, m) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT u.a, min(r.m) FROM r JOIN u ON u.b = r.id JOIN recurring.r q ON q.id = u.a WHERE r.m < q.m GROUP BY u.a) SELECT * FROM r)"
 
 
-@R.query("m11_all_components", _COMPONENTS + " SELECT id, m AS component FROM w")
-def m11_all(t: Tables) -> DataFrame:
+@R.query("m11_components", _COMPONENTS + " SELECT id, m AS component FROM w")
+def m11(t: Tables) -> DataFrame:
     return graph.weak_components(_nodes(t), _dayed(t))
 
 

@@ -265,10 +265,10 @@ def test_component_queries_drop_no_small_edge(spark, sf, size):
         x, y = root(x), root(y)
         up[max(x, y)] = min(x, y)
     want = {i: root(i) for i in ids}
-    assert {r["id"]: r["component"] for r in PT.R.queries["m11_all_components"](spark, sf(size)).collect()} == want
+    assert {r["id"]: r["component"] for r in PT.R.queries["m11_components"](spark, sf(size)).collect()} == want
     n = {c: list(want.values()).count(c) for c in set(want.values())}
     top = min(n, key=lambda c: (-n[c], c))
     inside = {e for e in edges if want[e[0]] == top and want[e[1]] == top}
     sources = {s for s, _ in inside}
-    got = PC.R.queries["c14_all_edges"](spark, sf(size)).collect()
+    got = PC.R.queries["c14_largest_component"](spark, sf(size)).collect()
     assert {(r["src"], r["dst"]) for r in got} == inside | {(i, i) for i in ids if want[i] == top and i not in sources}

@@ -15,7 +15,7 @@ PLAIN = {k: q for r in REGISTRIES for k, q in r.queries.items() if k not in r.sq
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf, name):
     query, sql = SQL[name]
-    d = sf("0.001")
+    d = sf("0.01")
     assert spark_rows(query(spark, d)) == sql_rows(connect(d), sql)
 
 
