@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweft.functions.scalars import finite
+from cellweft.session import cut
 
 #: Rank error of the sketch is at most one part in this many; a bracket reaches twice that to both sides.
 ACCURACY = 10_000
@@ -70,6 +71,21 @@ def with_quantiles(aggregated: DataFrame, df: DataFrame, keys: Sequence[str], va
     return joined(aggregated, quantiles(df, keys, value, **at), keys)
 
 
+def group_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str = "_r", size: str = "_n") -> DataFrame:
+    """Adds the 0-based ``rank`` of each row within its key by ``order`` (ending in a unique column) and the key's ``size``.
+
+    Rows are range-partitioned by key and order, numbered within a partition, and shifted by what earlier partitions hold of the key, so a key
+    with a third of all rows is numbered by many tasks.
+    """
+    part = cut(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()))
+    n = part.groupBy(*keys, "_p").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)  # a row a partition that has the key
+    start = n.withColumn("_start", F.sum("_c").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).withColumn(size, F.sum("_c").over(w)).drop("_c")
+    rn = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(*order)) - 1
+    out = joined(part.withColumn(rank, rn), start, [*keys, "_p"], "inner")
+    return out.withColumn(rank, F.col(rank) + F.col("_start")).drop("_p", "_start")
+
+
 def column_quantiles(df: DataFrame, columns: Sequence[str], **at: float) -> DataFrame:
     """One row with ``_{name}_{column}`` for each column: all columns' values go through one pass as (column, value) rows."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])).alias("e")).select("e.*")

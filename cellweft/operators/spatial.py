@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweft.functions.scalars import finite
-from cellweft.operators.quantiles import quantiles, with_quantiles
+from cellweft.operators.quantiles import group_ranks, quantiles, with_quantiles
 from cellweft.session import cut, release
 
 
@@ -188,18 +188,18 @@ def multiplicity(groups: DataFrame) -> DataFrame:
     return n.agg(F.count("*").alias("n_points"), F.avg("n").alias("mean_groups"), F.median("n").alias("median_groups"), F.max("n").alias("max_groups"))
 
 
-def equal_bins(order: Sequence[Column], partition: Sequence[str], q: int) -> Column:
-    """Bin 0..q-1 of equal frequency by position in ``order`` (quantile cut of first ranks, in closed form; not ntile)."""
-    w = Window.partitionBy(*partition)
-    rn, n = F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)
-    # ceil((rn-1)*q/(n-1)) - 1 in whole numbers.
-    up = F.when(n > 1, F.floor(((rn - 1) * q + (n - 2)) / F.nullif(n - 1, F.lit(0)))).otherwise(0)
+def equal_bin(rank: str, size: str, q: int) -> Column:
+    """Bin 0..q-1 of equal frequency by 0-based rank (quantile cut of first ranks, in closed form; not ntile)."""
+    r, n = F.col(rank), F.col(size)
+    # ceil(r*q/(n-1)) - 1 in whole numbers.
+    up = F.when(n > 1, F.floor((r * q + (n - 2)) / F.nullif(n - 1, F.lit(0)))).otherwise(0)
     return F.greatest(up - 1, F.lit(0)).cast("int")
 
 
 def tiles(points: DataFrame, q: int) -> DataFrame:
     """Adds tile_x, tile_y (equal-frequency bins per axis) and ``tile_id`` such as ``g__tile_x03_y11``."""
-    t = points.withColumn("tile_x", equal_bins([F.col("x"), F.col("id")], ["group"], q)).withColumn("tile_y", equal_bins([F.col("y"), F.col("id")], ["group"], q))
+    t = group_ranks(points, ["group"], ["x", "id"], "_rx", "_nx").withColumn("tile_x", equal_bin("_rx", "_nx", q)).drop("_rx", "_nx")
+    t = group_ranks(t, ["group"], ["y", "id"], "_ry", "_ny").withColumn("tile_y", equal_bin("_ry", "_ny", q)).drop("_ry", "_ny")
     return t.withColumn("tile_id", F.format_string("%s__tile_x%02d_y%02d", "group", "tile_x", "tile_y"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweft.functions.scalars import finite
-from cellweft.operators.quantiles import quantiles, with_quantiles
+from cellweft.operators.quantiles import group_ranks, joined, quantiles, with_quantiles
 
 
 def adjacent_times(df: DataFrame, time: str, day: str) -> DataFrame:
@@ -207,16 +207,13 @@ def head_sample(df: DataFrame, partition: Sequence[str], key: str, n: int) -> Da
 
 def stride_sample(df: DataFrame, partition: Sequence[str], key: str, n: int) -> DataFrame:
     """Every max(1, size // n)-th row of each partition by key, at most ``n``."""
-    w = Window.partitionBy(*partition)
-    step = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) / n))
-    r = F.row_number().over(w.orderBy(key)) - 1
-    return df.withColumn("_r", r).withColumn("_s", step).where("_r % _s = 0").where(F.floor(F.col("_r") / F.col("_s")) < n).drop("_r", "_s")
+    r = group_ranks(df, partition, [key]).withColumn("_s", F.greatest(F.lit(1), F.floor(F.col("_n") / n)))
+    return r.where("_r % _s = 0").where(F.floor(F.col("_r") / F.col("_s")) < n).drop("_r", "_n", "_s")
 
 
 def spaced_subset(df: DataFrame, partition: Sequence[str], key: str, n: int) -> DataFrame:
     """Rows at the positions int(linspace(0, size - 1, n)) of each partition by key."""
-    w = Window.partitionBy(*partition)
-    d = df.withColumn("_r", F.row_number().over(w.orderBy(key)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    d = group_ranks(df, partition, [key])
     # Position i of n is floor(i * (size - 1) / (n - 1)); row r is chosen if some i maps to it.
     i = F.ceil(F.col("_r") * (n - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
     hit = (i < n) & (F.floor(i * (F.col("_n") - 1) / (n - 1)) == F.col("_r")) if n > 1 else F.col("_r") == 0
@@ -224,8 +221,8 @@ def spaced_subset(df: DataFrame, partition: Sequence[str], key: str, n: int) ->
 
 
 def permuted(df: DataFrame, partition: Sequence[str], key: str, value: str, seed: int) -> DataFrame:
-    """``value`` shuffled among the rows of each partition (K11): key order joined with hash order."""
-    w = Window.partitionBy(*partition)
-    a = df.withColumn("_r", F.row_number().over(w.orderBy(key)))
-    b = df.select(*partition, F.row_number().over(w.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key)).alias("_r"), F.col(value).alias(f"{value}_shuffled"))
-    return a.join(b, [*partition, "_r"]).drop("_r")
+    """``value`` shuffled among the rows of each partition (K11): key order joined with hash order, by ranks, which are unique."""
+    a = group_ranks(df, partition, [key]).drop("_n")
+    h = df.select(*partition, F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))).alias("_h"), F.col(key).alias("_key"), F.col(value).alias(f"{value}_shuffled"))
+    b = group_ranks(h, partition, ["_h", "_key"]).drop("_h", "_key", "_n")
+    return joined(a, b, [*partition, "_r"], "inner").drop("_r")
