@@ -15,7 +15,7 @@ from cellweft.session import cut, release
 
 #: Peeling goes on until the frontier is empty. It also ends when this many rounds in succession each found less than PEEL_SHARE of
 #: what is visited already: then a long thin tail hangs on the giant component, which contraction takes in few rounds.
-PEEL_THIN_ROUNDS = 4
+PEEL_THIN_ROUNDS = 2
 PEEL_SHARE = 0.02
 
 
@@ -89,7 +89,8 @@ def linked_groups(links: DataFrame, thin_rounds: int | None = PEEL_THIN_ROUNDS)
     once; an empty input gives no rows. Records are strings; the smallest is by code point. ``thin_rounds``: see PEEL_THIN_ROUNDS; groups
     are the same whatever it is.
     """
-    links = links.where("record IS NOT NULL AND match_key IS NOT NULL").select("record", "match_key").distinct()
+    # Written, since nodes and edges both come from it.
+    links = cut(links.where("record IS NOT NULL AND match_key IS NOT NULL").select("record", "match_key").distinct())
     nodes, edges = _numbered(links)
     both = cut(_both(edges))
     release(edges)
