@@ -29,10 +29,12 @@ _WORD = re.compile(r"[^\W_]+")
 _GONE = dict.fromkeys(map(ord, "­​‌‍‎‏⁠﻿"))
 #: Chunks of a text are stepped through side by side. Each begins this many characters early; one whose match then reaches back to its
 #: beginning is stepped again from as far as any match can reach, so lengths do not depend on chunks.
-LEAD = 32
+LEAD = 64
 CHUNK = 480
 #: Characters parsed at a time; longer texts are parsed in parts that end between words.
 PART = 200_000
+#: Characters of texts that are parsed together; many small steps cost more than few large ones.
+GROUP = 2_000_000
 #: Words times texts whose shortest paths are searched side by side.
 CELLS = 250_000
 
@@ -226,12 +228,12 @@ class Languages:
 
     def phrases(self, texts: list[str]) -> list[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]:
         """Per text: word spans, (words x languages) phrases needed, and letters per word. A word of digits needs none."""
-        todo = [(i, a, e) for i, t in enumerate(texts) for a, e in self._parts(t)]
+        todo = [(i, a, e) for i, t in enumerate(texts) for a, e in self._parts(t)][::-1]
         res: list[list] = [[[], [np.zeros((0, len(self.names)))], [np.zeros(0)]] for _ in texts]
         while todo:
             batch, size = [], 0
-            while todo and (not batch or size + todo[0][2] - todo[0][1] <= 2 * PART):
-                batch.append(todo.pop(0))
+            while todo and (not batch or size + todo[-1][2] - todo[-1][1] <= GROUP):
+                batch.append(todo.pop())
                 size += batch[-1][2] - batch[-1][1]
             # Parts begin as much earlier as a match can reach back.
             early = [max(0, a - self.longest) for _, a, _ in batch]
@@ -246,10 +248,10 @@ class Languages:
                 run = np.concatenate([np.zeros((len(self.names), 1)), cost.cumsum(axis=1)], axis=1)
                 n = np.concatenate([[0], letter.cumsum()])
                 x, y = np.array([s[0] for s in spans]), np.array([s[1] for s in spans])
-                res[i][0] += [(p + a, q + a) for p, q in spans]
+                res[i][0] += [(p + a, q + a) for p, q in spans] if a else spans
                 res[i][1].append((run[:, y] - run[:, x]).T)
                 res[i][2].append((n[y] - n[x]).astype(float))
-        return [(s, np.concatenate(c), np.concatenate(n)) for s, c, n in res]
+        return [(s, c[1] if len(c) == 2 else np.concatenate(c), n[1] if len(n) == 2 else np.concatenate(n)) for s, c, n in res]
 
 
 Passage = tuple[int, int, int, float]
@@ -382,7 +384,7 @@ def document_passages(documents: DataFrame, codes: DataFrame, params: LanguagePa
                 if not last and t:
                     at.append(i), group.append(plain(t))
                     size += len(t)
-                if group and (last or size > 500_000):
+                if group and (last or size > GROUP):
                     parsed = lang.phrases(group) if lang else []
                     for x, found in zip(at, passages([q[1:] for q in parsed], p)):
                         rows += [(x, a, e - a, lang.names[k], c) for a, e, k, c in found if k >= 0 and e - a >= p.min_words and c * (e - a) >= p.min_evidence]
