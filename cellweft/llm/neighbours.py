@@ -36,7 +36,7 @@ class RouterParams:
     hidden: int = 192
     epochs: int = 24
     #: A vector asks its most probable parts until their probabilities sum to this, at most ``max_probes`` of them.
-    coverage: float = 0.93
+    coverage: float = 0.9
     #: None: 12, or the square root of the number of parts if that is more.
     max_probes: int | None = None
     seed: int = 11
