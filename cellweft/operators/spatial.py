@@ -127,7 +127,11 @@ def delaunay(points: DataFrame) -> DataFrame:
 
 
 def triangulation_edges(xy: np.ndarray) -> np.ndarray:
-    """Index pairs (i < j) of the Delaunay edges of distinct points, by incremental insertion (Bowyer-Watson)."""
+    """Index pairs (i < j) of the Delaunay edges of distinct points, by incremental insertion (Bowyer-Watson).
+
+    Points come in the order of rows of a grid, to and fro, so each is found by a short walk from the triangle made last; what it
+    replaces is found from there by neighbours, so a point costs about the same however many there are.
+    """
     n = len(xy)
     if n < 3:
         return np.zeros((0, 2), dtype=int)
@@ -136,29 +140,70 @@ def triangulation_edges(xy: np.ndarray) -> np.ndarray:
     if np.linalg.matrix_rank(q - q[0], tol=1e-9) < 2:
         return np.zeros((0, 2), dtype=int)
     far = 1e4
-    pts = np.r_[q, [[-far, -far], [far, -far], [0, far]]]
-    tri, cx, cy, r2 = np.zeros((0, 3), dtype=int), np.zeros(0), np.zeros(0), np.zeros(0)
+    px, py = [*q[:, 0].tolist(), -far, far, 0.0], [*q[:, 1].tolist(), -far, -far, far]
+    corners: list[tuple[int, int, int] | None] = [(n, n + 1, n + 2)]
+    beside: list[list[int]] = [[-1, -1, -1]]  # across the edge opposite to each corner
 
-    def circles(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b, c = pts[t[:, 0]], pts[t[:, 1]], pts[t[:, 2]]
-        bx, by, ex, ey = *(b - a).T, *(c - a).T
+    def circle(t: tuple[int, int, int]) -> tuple[float, float, float]:
+        a, b, c = t
+        bx, by, ex, ey = px[b] - px[a], py[b] - py[a], px[c] - px[a], py[c] - py[a]
         d = 2 * (bx * ey - by * ex)
-        d = np.where(np.abs(d) < 1e-300, 1e-300, d)
-        ux, uy = (ey * (bx**2 + by**2) - by * (ex**2 + ey**2)) / d, (bx * (ex**2 + ey**2) - ex * (bx**2 + by**2)) / d
-        return a[:, 0] + ux, a[:, 1] + uy, ux**2 + uy**2
-
-    tri = np.array([[n, n + 1, n + 2]])
-    cx, cy, r2 = circles(tri)
-    for i in np.lexsort((q[:, 1], q[:, 0])):
-        bad = (pts[i, 0] - cx) ** 2 + (pts[i, 1] - cy) ** 2 < r2 * (1 + 1e-12)
-        hole = tri[bad]
-        e = np.sort(np.r_[hole[:, [0, 1]], hole[:, [1, 2]], hole[:, [2, 0]]], axis=1)
-        u, c = np.unique(e, axis=0, return_counts=True)
-        rim = u[c == 1]
-        new = np.c_[rim, np.full(len(rim), i)]
-        nx, ny, nr = circles(new)
-        tri, cx, cy, r2 = np.r_[tri[~bad], new], np.r_[cx[~bad], nx], np.r_[cy[~bad], ny], np.r_[r2[~bad], nr]
-    tri = tri[(tri < n).all(axis=1)]
+        d = d if abs(d) > 1e-300 else 1e-300
+        b2, e2 = bx * bx + by * by, ex * ex + ey * ey
+        ux, uy = (ey * b2 - by * e2) / d, (bx * e2 - ex * b2) / d
+        return px[a] + ux, py[a] + uy, (ux * ux + uy * uy) * (1 + 1e-12)
+
+    circles = [circle(corners[0])]  # type: ignore[arg-type]
+    strips = max(1, int(np.sqrt(n / 2)))
+    row = np.minimum(((q[:, 1] - q[:, 1].min()) / max(np.ptp(q[:, 1]), 1e-12) * strips).astype(int), strips - 1)
+    order = np.lexsort((np.where(row % 2 == 0, q[:, 0], -q[:, 0]), row)).tolist()
+    last = 0
+    for i in order:
+        x, y = px[i], py[i]
+        inside = lambda t: (x - circles[t][0]) ** 2 + (y - circles[t][1]) ** 2 < circles[t][2]
+        at = last
+        for _ in range(4 * len(corners) + 8):
+            a = corners[at]
+            for k in range(3):
+                u, v = a[(k + 1) % 3], a[(k + 2) % 3]  # type: ignore[index]
+                if (px[v] - px[u]) * (y - py[u]) - (py[v] - py[u]) * (x - px[u]) < 0 and beside[at][k] >= 0:
+                    at = beside[at][k]
+                    break
+            else:
+                break
+        if not inside(at):  # rounding on a thin triangle: look everywhere
+            at = next((t for t, c in enumerate(corners) if c is not None and inside(t)), at)
+        bad, todo, rim = {at}, [at], []
+        while todo:
+            t = todo.pop()
+            for k in range(3):
+                o = beside[t][k]
+                if o in bad:
+                    continue
+                if o >= 0 and inside(o):
+                    bad.add(o)
+                    todo.append(o)
+        for t in bad:
+            a = corners[t]
+            rim += [(a[(k + 1) % 3], a[(k + 2) % 3], beside[t][k]) for k in range(3) if beside[t][k] not in bad]  # type: ignore[index]
+        ends: dict[int, tuple[int, int]] = {}
+        for u, v, o in rim:
+            t = len(corners)
+            corners.append((i, u, v)), beside.append([o, -1, -1]), circles.append(circle((i, u, v)))
+            if o >= 0:
+                b = corners[o]
+                k = next(k for k in range(3) if b[k] not in (u, v))  # type: ignore[index]
+                beside[o][k] = t
+            for end, k in ((u, 2), (v, 1)):  # the edges to the new point lie opposite to v and to u
+                if end in ends:
+                    t2, k2 = ends.pop(end)
+                    beside[t][k], beside[t2][k2] = t2, t
+                else:
+                    ends[end] = (t, k)
+            last = t
+        for t in bad:
+            corners[t] = None
+    tri = np.array([c for c in corners if c is not None and max(c) < n], dtype=int).reshape(-1, 3)
     e = np.sort(np.r_[tri[:, [0, 1]], tri[:, [1, 2]], tri[:, [2, 0]]], axis=1)
     return np.unique(e, axis=0)
 

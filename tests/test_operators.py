@@ -272,3 +272,53 @@ def test_component_queries_drop_no_small_edge(spark, sf, size):
     sources = {s for s, _ in inside}
     got = PC.R.queries["c14_largest_component"](spark, sf(size)).collect()
     assert {(r["src"], r["dst"]) for r in got} == inside | {(i, i) for i in ids if want[i] == top and i not in sources}
+
+
+def test_joint_clones_by_hand(spark):
+    """Cutoffs, promotion of an allele of many ids, links through rare alleles, disagreement, nulls and an empty table."""
+    from cellweft.operators import clones as K
+
+    schema = "cell_key string, locus string, allele string, normalized_count double, sample_count double, extra string"
+    rows = [
+        ("c1", "CA", "CA_1", 0.01, 1.0, "x"), ("c1", "RA", "RA_1", 0.02, 1.0, "x"),
+        ("c2", "RA", "RA_1", 0.02, 1.0, "x"), ("c2", "TA", "TA_1", 0.03, 1.0, "x"),  # linked with c1 by RA_1
+        ("c3", "CA", "CA_2", 0.01, 1.0, "x"), ("c3", "TA", "TA_1", 0.03, 1.0, "x"),  # linked with c2 by TA_1, disagrees with c1 at CA
+        ("c4", "CA", "CA_9", 0.5, 1.0, "x"), ("c5", "CA", "CA_8", 0.01, 2.0, "x"), ("c6", None, "ZZ", 0.01, 1.0, "x"), ("c7", "CA", "CA_7", None, 1.0, "x"),  # all left out
+        ("c1", "CA", "CA_1", 0.01, 1.0, "again"),
+    ] + [(f"m{i}", loc, a, 0.01, 1.0, "x") for i in range(6) for loc, a in (("CA", "CA_M"), ("TA", f"TA_M{i}"))]  # CA_M has six ids: promoted
+    cells, clones = K.joint_clones(spark.createDataFrame(rows, schema))
+    got = {r["cell_key"]: (r["joint_clone_id"], round(r["joint_prob"], 9), r["joint_allele_num"], round(r["bc_consistency"], 6)) for r in cells.collect()}
+    one = "CA_1@CA_2@RA_1@TA_1"
+    assert {k: v for k, v in got.items() if k[0] == "c"} == {"c1": (one, 0.0002, 4, 0.666667), "c2": (one, 0.0006, 4, 0.666667), "c3": (one, 0.0003, 4, 0.666667)}
+    assert got["m0"] == ("CA_M@TA_M0", 0.001, 2, 1.0) and len({v[0] for k, v in got.items() if k[0] == "m"}) == 6
+    assert sorted(r["bc_num"] for r in clones.collect()) == [1] * 6 + [3]
+    cells, clones = K.joint_clones(spark.createDataFrame([], schema))
+    assert cells.collect() == [] and clones.collect() == []
+
+
+def test_ranks_within_groups(spark):
+    from cellweft.operators.quantiles import group_ranks
+
+    rows = [("hot", i * 7919 % 1000) for i in range(1000)] + [("a", 5), (None, 2), (None, 1)]
+    got = group_ranks(spark.createDataFrame(rows, "k string, v int"), ["k"], ["v"]).collect()
+    assert all(r["_r"] == r["v"] and r["_n"] == 1000 for r in got if r["k"] == "hot")
+    assert sorted((r["v"], r["_r"], r["_n"]) for r in got if r["k"] is None) == [(1, 0, 2), (2, 1, 2)]
+    assert group_ranks(spark.createDataFrame([], "k string, v int"), ["k"], ["v"]).collect() == []
+
+
+def test_basket_pairs_and_sums_per_source(spark):
+    from itertools import combinations
+
+    from cellweft.operators.pairs import basket_pairs
+
+    rows = [("big", f"i{i:02d}") for i in range(40)] + [("b", "i00"), ("b", "i01"), ("one", "i05")]
+    want = {p: 1 + (p == ("i00", "i01")) for p in combinations([f"i{i:02d}" for i in range(40)], 2)}
+    df = spark.createDataFrame(rows, "basket string, item string")
+    assert {(r["left"], r["right"]): r["n"] for r in basket_pairs(df, 8).collect()} == want
+    assert basket_pairs(df.where("basket = 'none'")).collect() == []
+    e = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0), ("z", 0.0), ("n", None), ("n", float("nan"))], "src string, w double")
+    from cellweft.operators.transitions import normalised
+
+    assert sorted(((r["src"] or "", r["p"]) for r in normalised(e, "w", "p").collect())) == [("", 1.0), ("a", 0.25), ("a", 0.75), ("n", 0.0), ("n", 0.0), ("z", 0.0)]
+    assert sorted(((r["src"] or "", r["p"]) for r in normalised(e, "w", "p", "uniform").collect())) == [("", 1.0), ("a", 0.25), ("a", 0.75), ("n", 0.5), ("n", 0.5), ("z", 1.0)]
+    assert {r["src"] for r in normalised(e, "w", "p", "drop").collect()} == {"a", None}
