@@ -3,18 +3,20 @@
 Vectors of a partition key (a slice) are reduced by principal components and split into blocks around pivots; a vector near the
 border of two blocks is in both. Each block finds dense cores on its own, at several densities, by reduced and by true distances; cores
 that share a vector are one cluster across blocks. Every cluster then settles on its mean over all vectors of its slice, and is
-tested exactly. Blocks thus only propose: what border cores, densities or the split of a very dense block miss stays in no group.
+tested exactly. Blocks thus only propose: what border cores, densities or the split of a very dense block miss is in no group yet.
 
-A second pass proposes from those vectors. Members of a group may be far from each other (0.25 from the mean allows 0.875 between
-two of them), so no density of cores covers all groups; from every vector in no group the means of its nearest others at many
-radii and numbers settle among the vectors in no group, and what holds there is tested in the same exact way.
+A second pass proposes from those vectors, without blocks. Members of a group may be far from each other (0.25 from the mean allows
+0.875 between two of them), so no density of cores covers all groups; from every vector in no group the means of its nearest others
+at many radii and numbers settle among all vectors of its slice in no group, and what holds there is tested in the same exact way.
+The pass is repeated over slices where it found groups until it finds none, so how the first pass was cut into blocks loses nothing
+that the second one finds in a whole slice.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,6 @@ class DensityParams:
     settle_rounds: int = 6
     #: Around vectors in no group: radii, as 1 - cosine, and numbers of nearest others whose means are tried.
     wide_radii: tuple[float, ...] = tuple(i / 20 for i in range(2, 18))
-    #: Passes over vectors in no group; those after the first, by other pivots, only for slices that have more of them than a block holds.
-    wide_passes: int = 4
     wide_counts: tuple[int, ...] = (4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 19, 22, 26, 31, 37, 44, 53, 64)
     seed: int = 7
 
@@ -259,38 +259,47 @@ def _assign(points: DataFrame, centres: DataFrame, dim: int, within: float) -> D
     return _met(points, centres, near, "slice_id string, cluster string, id string, w long, distance double")
 
 
-def wide_centres(blocked: DataFrame, dim: int, p: DensityParams, radius: float, clear: float, least: int) -> DataFrame:
-    """(slice_id, cluster, mean): directions around which the given points (those in no group) hold a group among themselves."""
+def wide_centres(rest: DataFrame, dim: int, p: DensityParams, radius: float, clear: float, least: int) -> DataFrame:
+    """(slice_id, cluster, mean): directions around which the given points (those in no group) hold a group among themselves.
+
+    A slice's points are tried in strips of about ``block_rows``, each against all of the slice's given points, so that a group is found
+    whatever the size of its slice. A task holds these points once and its distances in steps; work grows with their square.
+    """
     spec = (p.wide_radii, p.wide_counts, p.settle_rounds)
 
     def find(t: pa.Table) -> pa.Table:
         radii, counts, rounds = spec
         u, w = _units(t, dim), t.column("w").to_numpy().astype(float)
-        slice_id, block, sub = (t.column(c)[0].as_py() for c in ("slice_id", "block", "sub"))
-        found: list[np.ndarray] = []
+        slice_id, strip = (t.column(c)[0].as_py() for c in ("slice_id", "strip"))
+        mine = np.flatnonzero(t.column("mine").to_numpy(zero_copy_only=False))
+        most, within = max(counts) + 1, (radius + clear) / 2
+        good: dict[bytes, np.ndarray] = {}
         if w.sum() >= least:
             step = max(1, 2_000_000 // len(u))
-            for s in range(0, len(u), step):
-                d = 1 - u[s:s + step] @ u.T
+            for s in range(0, len(mine), step):
+                d = 1 - u[mine[s:s + step]] @ u.T
                 start = [((d <= r) * w) @ u for r in radii]
                 # The nearest ones in order, a bounded number of them.
-                order = np.argsort(d, axis=1)[:, :max(counts) + 1]
+                order = np.argpartition(d, most - 1, axis=1)[:, :most] if d.shape[1] > most else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+                order = np.take_along_axis(order, np.argsort(np.take_along_axis(d, order, axis=1), axis=1), axis=1)
                 run = (u * w[:, None])[order].cumsum(axis=1)
                 start += [run[:, n] for n in counts if n < run.shape[1]]
                 every = np.concatenate(start)
                 every = every[np.abs(every).max(axis=1) > 1e-9]
-                found.append(_settled(_unit(every), u, w, (radius + clear) / 2, rounds, least))
-        c = _settled(np.concatenate(found), u, w, (radius + clear) / 2, 1, least) if found and sum(map(len, found)) else np.zeros((0, dim))
-        good = []
-        for m in c:
-            d = 1 - u @ m
-            near = d <= radius
-            if w[near].sum() >= least and not ((d > radius) & (d <= clear)).any():
-                good.append(m)
-        return pa.table({"slice_id": pa.array([slice_id] * len(good), pa.string()), "cluster": pa.array([f"{slice_id}/{block}/{sub}/{i}" for i in range(len(good))], pa.string()),
-                         "mean": pa.array([m.tolist() for m in good], pa.list_(pa.float64()))})
-
-    return blocked.groupBy("slice_id", "block", "sub").applyInArrow(find, "slice_id string, cluster string, mean array<double>")
+                moved = _settled(_unit(every), u, w, within, rounds, least)
+                # Only what holds is kept from step to step.
+                for m in _settled(moved, u, w, within, 1, least) if len(moved) else moved:
+                    d = 1 - u @ m
+                    near = d <= radius
+                    if w[near].sum() >= least and not ((d > radius) & (d <= clear)).any():
+                        good.setdefault(np.packbits(near).tobytes(), m)
+        return pa.table({"slice_id": pa.array([slice_id] * len(good), pa.string()), "cluster": pa.array([f"{slice_id}/{strip}/{i}" for i in range(len(good))], pa.string()),
+                         "mean": pa.array([m.tolist() for m in good.values()], pa.list_(pa.float64()))})
+
+    strips = rest.groupBy("slice_id").agg(F.ceil(F.count("*") / p.block_rows).alias("strips"))
+    each = rest.join(strips, "slice_id").withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("strips") - 1)))
+    each = each.select("slice_id", "strip", (F.pmod(F.xxhash64("id", F.lit(p.seed)), F.col("strips")) == F.col("strip")).alias("mine"), "w", "vec")
+    return each.groupBy("slice_id", "strip").applyInArrow(find, "slice_id string, cluster string, mean array<double>")
 
 
 def _settle(points: DataFrame, centres: DataFrame, dim: int, radius: float, rounds: int) -> tuple[DataFrame, DataFrame]:
@@ -341,19 +350,15 @@ def compact_groups(vectors: DataFrame, dim: int, radius: float = 0.25, clear: fl
     centres, own = _settle(points, cut(_summed(_merged(found), dim)), dim, radius, p.settle_rounds)
     first = cut(_tested(points, centres, own, dim, radius, clear, least))
     every, rest = first, cut(points.join(first.select("slice_id", "id"), ["slice_id", "id"], "left_anti"))
-    for n in range(p.wide_passes):
-        blocked = in_blocks(rest, replace(p, seed=p.seed + 100 * n))
-        wide = cut(wide_centres(blocked, dim, p, radius, clear, least))
-        if not wide.isEmpty():
-            more = _tested(points, *_settle(points, wide, dim, radius, 1), dim, radius, clear, least)
-            more = cut(more.join(every.select("slice_id", "group_id").distinct(), ["slice_id", "group_id"], "left_anti").select(first.columns))
-            every = every.unionByName(more)
-            rest = cut(rest.join(more.select("slice_id", "id"), ["slice_id", "id"], "left_anti"))
-        # What fits in a block was seen whole.
-        large = rest.groupBy("slice_id").count().where(F.col("count") > p.block_rows).select("slice_id")
-        rest = cut(rest.join(large, "slice_id", "left_semi"))
-        if rest.isEmpty():
+    while not rest.isEmpty():
+        wide = cut(wide_centres(rest, dim, p, radius, clear, least))
+        if wide.isEmpty():
             break
+        more = _tested(points, *_settle(points, wide, dim, radius, 1), dim, radius, clear, least)
+        more = cut(more.join(every.select("slice_id", "group_id").distinct(), ["slice_id", "group_id"], "left_anti").select(first.columns))
+        every = every.unionByName(more)
+        # A slice that gave groups is looked at again without them; no group, no further pass.
+        rest = cut(rest.join(more.select("slice_id", "id"), ["slice_id", "id"], "left_anti").join(more.select("slice_id").distinct(), "slice_id", "left_semi"))
     return every
 
 

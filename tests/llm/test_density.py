@@ -123,6 +123,22 @@ def test_wide_groups_without_dense_cores(spark):
     assert small and all(holds(u, ids, g) for g in small) and frozenset(f"all_t_{i:02d}" for i in range(8)) in small
 
 
+def test_blocks_of_a_slice_lose_no_group(spark):
+    """A slice of far more vectors than a block: groups without dense cores, and one whose members no block of either pass holds together."""
+    rng = np.random.default_rng(21)
+    dim, x = 48, []
+    basis = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+    for s in range(12):
+        x += [(f"w{s:02d}_{i}", v) for i, v in enumerate(around(rng, basis[s], 6, 0.2, dim))]
+    x += [(f"z{i:03d}", rng.normal(size=dim)) for i in range(120)]
+    ids, u = [i for i, _ in x], np.array([v / np.linalg.norm(v) for _, v in x])
+    df = spark.createDataFrame([("s", i, [float(a) for a in v]) for i, v in x], "slice_id string, id string, vec array<double>")
+    want = {g for g in (frozenset(f"w{s:02d}_{i}" for i in range(6)) for s in range(12)) if holds(u, ids, g)}
+    whole = groups_of(D.compact_groups(df, dim))
+    cut = groups_of(D.compact_groups(df, dim, params=D.DensityParams(block_rows=12, max_pivots=2)))
+    assert len(want) > 5 and want <= whole and cut == whole
+
+
 def blobs(rng, n_groups, size, dim=24):
     centres = np.eye(dim)[:n_groups]
     return np.concatenate([c + 0.08 * rng.normal(size=(size, dim)) for c in centres])
