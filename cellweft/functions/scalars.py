@@ -132,6 +132,11 @@ def finite(c: Column | str) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) != F.lit(float("inf"))), d)
 
 
+def signed_round(c: Column | str, digits: int) -> Column:
+    """Rounded to ``digits`` decimals; what rounds to zero keeps its sign, as in SQL engines that round in binary."""
+    return F.signum(_c(c)) * F.round(F.abs(_c(c)), digits)
+
+
 def clamp(c: Column | str, low: float | Column, high: float | Column) -> Column:
     return F.least(F.greatest(_c(c), low if isinstance(low, Column) else F.lit(low)), high if isinstance(high, Column) else F.lit(high))
 

@@ -130,7 +130,7 @@ SELECT anchor, list(round(a, 5) ORDER BY i) AS mean_vector, list(round(s, 5) ORD
 def g14_mean_variance(t: Tables) -> DataFrame:
     p = _pts(t).join(current_vectors(t).select("id", "vec"), "id")
     f = G.neighbour_features(p, G.with_self(p, G.within_radius(p, _RADIUS)), [], "vec")
-    five = lambda c: F.transform(c, lambda x: F.round(x, 5)).alias(c)
+    five = lambda c: F.transform(c, lambda x: S.signed_round(x, 5)).alias(c)
     return f.select("anchor", five("mean_vector"), five("var_vector"))
 
 

@@ -64,3 +64,17 @@ def test_triangulation_is_delaunay(cells):
 
 def test_collinear_has_no_triangles():
     assert len(G.triangulation_edges(np.array([[0.0, 0], [1, 1], [2, 2]]))) == 0
+
+
+def test_means_that_round_to_zero_keep_their_sign(spark, tmp_path):
+    """As in the SQL, byte for byte; numbers alone compare equal."""
+    from cellweft.plans.spatial import R as Q
+    from oracle import connect
+
+    schema = "anchor_id string, slice_id string, time string, time_day int, mouse_id string, anchor_index bigint, cell_type_l1 string, cell_type_l2 string, cell_type_l3 string, x double, y double, rep_version int, features array<float>"
+    rows = [(f"s::{i}", "s", "D0", 0, "m", i, "a", "b", "c", float(i), 0.0, 1, [f, -f] + [1.5 * i] * 46) for i, f in enumerate((-0.000004, 0.000002, -0.000003))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/spark")
+    next(tmp_path.glob("spark/*.parquet")).rename(tmp_path / "niche_anchors.parquet")
+    got = sorted((r["anchor"], repr(list(r["mean_vector"])), repr(list(r["var_vector"]))) for r in Q.queries["g14_mean_variance"](spark, str(tmp_path)).collect())
+    want = sorted((a, repr(m), repr(v)) for a, m, v in connect(str(tmp_path)).execute(Q.sql["g14_mean_variance"]).fetchall())
+    assert got == want and got[0][1].startswith("[-0.0, 0.0,")
