@@ -89,7 +89,7 @@ def kernel_verdict(nodes: DataFrame, edges: DataFrame, tolerance: float = 1e-5,
 
 def with_self_loops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows normalised to 1; nodes without out-mass get a self-loop of 1."""
-    e = normalised(edges, "p", "q", "drop").select("src", "dst", F.col("q").alias("p"))
+    e = normalised(edges, "p", "q", "drop", exact=True).select("src", "dst", F.col("q").alias("p"))
     loops = nodes.select(F.col("id").alias("src")).join(e.select("src").distinct(), "src", "left_anti").select("src", F.col("src").alias("dst"), F.lit(1.0).alias("p"))
     return e.unionByName(loops)
 

@@ -95,14 +95,25 @@ def weighted(edges: DataFrame, cost: str, keys: Sequence[str], temperature: Data
     return normalised(e, "weight", "prob", "zero")
 
 
-def normalised(edges: DataFrame, weight: str, out: str, zero: str = "zero", src: str = "src") -> DataFrame:
+def exact_sum(c: Column) -> Column:
+    """Aggregate: the sum of numbers as if added without rounding and rounded once, so that no order of rows shows.
+
+    Each is split, without loss, into a multiple of 2^-26, a multiple of 2^-52 and the rest; sums of the first two are exact while they
+    stay below 2^27. Larger or tiny sums are as good as plain ones.
+    """
+    high = (c + F.lit(1.5 * 2**26)) - F.lit(1.5 * 2**26)
+    middle = ((c - high) + F.lit(1.5)) - F.lit(1.5)
+    return F.sum(high) + (F.sum(middle) + F.sum((c - high) - middle))
+
+
+def normalised(edges: DataFrame, weight: str, out: str, zero: str = "zero", src: str = "src", exact: bool = False) -> DataFrame:
     """``out`` = weight over its sum per source. Null, NaN and negative weights count 0.
 
-    A source whose sum is 0 gets 0 (``zero``), 1/n (``uniform``) or no rows (``drop``).
+    A source whose sum is 0 gets 0 (``zero``), 1/n (``uniform``) or no rows (``drop``). ``exact``: sums by :func:`exact_sum`.
     """
     w = F.greatest(F.coalesce(finite(weight), F.lit(0.0)), F.lit(0.0))
     # Sums per source are compact partial states; a source with a tenth of all rows is never one task.
-    sums = edges.groupBy(F.col(src).alias("_of")).agg(F.sum(w).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    sums = edges.groupBy(F.col(src).alias("_of")).agg((exact_sum(w) if exact else F.sum(w)).alias("_sum"), F.count(F.lit(1)).alias("_n"))
     e = edges.join(sums, F.col(src).eqNullSafe(F.col("_of")))
     e = e.withColumn(out, F.when(F.col("_sum") > 0, w / F.col("_sum")).otherwise(1.0 / F.col("_n") if zero == "uniform" else F.lit(0.0)))
     return (e.where("_sum > 0") if zero == "drop" else e).drop("_of", "_sum", "_n")

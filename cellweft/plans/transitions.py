@@ -243,7 +243,8 @@ def m9(t: Tables) -> DataFrame:
 
 @R.query("m10_self_loops", _DAYED + "SELECT src, dst, round(p / sum(p) OVER (PARTITION BY src), 6) AS p FROM de UNION ALL SELECT id, id, 1.0 FROM nodes WHERE id NOT IN (SELECT src FROM de)")
 def m10(t: Tables) -> DataFrame:
-    return V.rounded(markov.with_self_loops(_nodes(t), _dayed(t)))
+    # Twelve digits first: a quotient of decimals that ends at a half goes up, though its double may lie just below.
+    return V.rounded(V.rounded(markov.with_self_loops(_nodes(t), _dayed(t)), 12))
 
 
 _COMPONENTS = _DAYED + ", u AS (SELECT src AS a, dst AS b FROM de UNION SELECT dst, src FROM de), w AS (WITH RECURSIVE r(id, m) USING KEY (id) AS (SELECT id, id FROM nodes UNION SELECT u.a, min(r.m) FROM r JOIN u ON u.b = r.id JOIN recurring.r q ON q.id = u.a WHERE r.m < q.m GROUP BY u.a) SELECT * FROM r)"
