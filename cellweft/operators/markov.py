@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweft.operators.quantiles import with_quantiles
-from cellweft.operators.transitions import normalised
+from cellweft.operators.transitions import exact_sum, normalised
 from cellweft.session import cut
 
 
@@ -121,7 +121,7 @@ def mixture(parts: Sequence[tuple[DataFrame, float]], nodes: DataFrame, self_wei
     every = [e.select("src", "dst", (F.col("p") * w).alias("w")) for e, w in parts]
     if self_weight > 0:
         every.append(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(self_weight).alias("w")))
-    return normalised(reduce(DataFrame.unionByName, every).groupBy("src", "dst").agg(F.sum("w").alias("w")), "w", "p", "drop").select("src", "dst", "p")
+    return normalised(reduce(DataFrame.unionByName, every).groupBy("src", "dst").agg(exact_sum(F.col("w")).alias("w")), "w", "p", "drop", exact=True).select("src", "dst", "p")
 
 
 def entry_distribution(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -281,7 +281,8 @@ def m16(t: Tables) -> DataFrame:
 SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 5) AS p FROM s""")
 def m17(t: Tables) -> DataFrame:
     e = _dayed(t)
-    return V.rounded(markov.mixture([(e.where("source_day = target_day"), 0.85), (e.where("source_day <> target_day"), 0.10)], _nodes(t), 0.05), 5)
+    # Twelve digits first, as above.
+    return V.rounded(V.rounded(markov.mixture([(e.where("source_day = target_day"), 0.85), (e.where("source_day <> target_day"), 0.10)], _nodes(t), 0.05), 12), 5)
 
 
 @R.query("m18_distribution", _E + "SELECT source_time, target_time, count(*) AS n_edges, count(DISTINCT src) AS n_sources, count(DISTINCT dst) AS n_targets, round(sum(p), 6) AS mass, min(p) AS min_p, round(avg(p), 6) AS mean_p, round(median(p), 6) AS median_p, max(p) AS max_p FROM edges GROUP BY ALL")

@@ -29,6 +29,13 @@ def test_self_loops_by_exact_sums(spark):
         assert sorted(r["p"] for r in markov.with_self_loops(nodes, e).collect()) == sorted(v / math.fsum(p) for v in p)
 
 
+def test_mixture_by_exact_sums(spark):
+    for p in orders(P):
+        e, nodes = tables(spark, p)
+        w = [v * 0.85 for v in p] + [0.05]
+        assert sorted(r["p"] for r in markov.mixture([(e, 0.85)], nodes, 0.05).collect()) == sorted(v / math.fsum(w) for v in w)
+
+
 def sum_in_order(p):
     s = 0.0
     for v in p:
@@ -36,7 +43,7 @@ def sum_in_order(p):
     return s
 
 
-@pytest.mark.parametrize(("name", "digits"), [("m10_self_loops", 6)])
+@pytest.mark.parametrize(("name", "digits"), [("m10_self_loops", 6), ("m17_mixture", 5)])
 def test_whole_table_equals_fractions(spark, sf, name, digits):
     """Its SQL adds doubles in an order of threads and differs from itself at halves; fractions do not."""
     con = connect(sf("0.01"))
